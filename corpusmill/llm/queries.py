@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import byte_bpe, language_id, ngram_join, secret_scan
 
 QUERIES = {
+    "op4_secret_scan": secret_scan.query,
     "op5_ngram_jaccard_join": ngram_join.query,
+    "op6_language_id": language_id.query,
+    "op8_byte_bpe": byte_bpe.query,
 }
 ORACLE_SQL: dict[str, str] = {}
