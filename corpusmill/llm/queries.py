@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, ngram_join, secret_scan
+from . import byte_bpe, decontamination, html_extraction, language_id, ngram_join, secret_scan, warc
 
 QUERIES = {
+    "op3_warc_derivatives": warc.query,
     "op4_secret_scan": secret_scan.query,
     "op5_ngram_jaccard_join": ngram_join.query,
     "op6_language_id": language_id.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op9_html_extraction": html_extraction.query,
+    "op10_decontamination": decontamination.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": decontamination.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
