@@ -75,7 +75,7 @@ class Bands:
         if k < 6:
             n1, n2, k2 = [(1, 1, 0), (1, 3, 1), (1, 5, 2), (1, 6, 3), (2, 5, 2), (2, 5, 2)][k]
         else:
-            z = 2 + k // 100
+            z = 3 + k // 100
             n1, n2, k2 = k // 2 + z, 3, 1
         return n1, n2, k2, n1 - k // (k2 + 1)
 

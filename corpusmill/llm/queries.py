@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, html_extraction, language_id, ngram_join, secret_scan, warc
+from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality_mil, secret_scan, substring_dedup, warc
 
 QUERIES = {
+    "op1_quality_mil": quality_mil.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_warc_derivatives": warc.query,
     "op4_secret_scan": secret_scan.query,
     "op5_ngram_jaccard_join": ngram_join.query,
     "op6_language_id": language_id.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op7_substring_dedup": substring_dedup.query,
     "op9_html_extraction": html_extraction.query,
     "op10_decontamination": decontamination.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op10_decontamination": decontamination.SQL,
 }
