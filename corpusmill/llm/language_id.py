@@ -135,9 +135,9 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def classify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs, lang_pred and score. Two passes, no shuffle but that of the sums."""
-    model = docs.sparkSession.sparkContext.broadcast(prototypes(labelled))
+def classify(docs: DataFrame, known: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of docs, lang_pred and score, by prototypes ``known``. One pass, no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(known)
     own = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", lang_pred string, score double"
     return own.mapInArrow(_predict(model), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
@@ -145,5 +145,5 @@ def classify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = classify(docs, docs.filter(~held_out(F.col("doc_id"))), ["doc_id"])
+    found = classify(docs, prototypes(docs.filter(~held_out(F.col("doc_id")))), ["doc_id"])
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

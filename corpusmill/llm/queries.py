@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality_mil, secret_scan, substring_dedup, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.query,
     "op9_html_extraction": html_extraction.query,
     "op10_decontamination": decontamination.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.SQL,
