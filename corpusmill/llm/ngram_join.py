@@ -45,10 +45,12 @@ from ._store import materialise, table
 SHINGLE = 4
 PERCENT = 85
 #: Counters of the sketch of frequent shingles, and the count from which a shingle is frequent.
-SKETCH = 1 << 22
-FREQUENT = 256
+SKETCH = 1 << 24
+FREQUENT = 64
 #: A side of a join with up to so many ids (8 bytes each) is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Parts of the feature domain whose counts bound the distance of two sets from below.
+CELLS = 16
 _U = np.uint64
 
 
@@ -126,13 +128,13 @@ def _profile(n: int) -> Callable:
     """doc_id, set size and fingerprint of each row; after the rows of a partition, its counters well over their mean, as rows with a null size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(SKETCH, dtype=np.uint32)
+        counters = np.zeros(SKETCH, dtype=np.uint16)
         names = ["doc_id", "n_shingles", "print", "class", "cell"]
         for part, sets in _sets(batches, n):
             prints = [fingerprint(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x and _key(x) for x in prints], pa.int64()), pa.nulls(len(sets), pa.int32())], names=names)
             cells, counts = np.unique(_cell(np.concatenate(sets)), return_counts=True)
-            counters[cells] += counts.astype(np.uint32)
+            counters[cells] = np.minimum(counters[cells] + counts, 65535)
         high = np.flatnonzero(counters >= 4 + 4 * int(counters.mean()))
         if len(high):
             yield pa.RecordBatch.from_arrays([pa.array(counters[high].astype(np.int64)), pa.nulls(len(high), pa.int64()), pa.nulls(len(high), pa.binary()), pa.nulls(len(high), pa.int64()), pa.array(high.astype(np.int32))], names=names)
@@ -195,7 +197,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+            cells = [np.bincount((mix(s ^ _U(0xBEEF)) % _U(CELLS)).astype(np.int64), minlength=CELLS) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.list_(pa.int32()))], names=["doc_id", "shingles", "cells"])
 
     return run
 
@@ -237,7 +240,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     needed = members.select("rep").distinct()
     texts = docs.join(small(needed, needed.count()), docs["doc_id"] == F.col("rep"), "left_semi")
-    sets = materialise(texts.mapInArrow(_whole(shingle), "doc_id bigint, shingles binary"), "sets")
+    sets = materialise(texts.mapInArrow(_whole(shingle), "doc_id bigint, shingles binary, cells array<int>"), "sets")
 
     links = spark.createDataFrame([], "u bigint, v bigint")
     done = spark.createDataFrame([], "a bigint, b bigint")
@@ -250,9 +253,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         if step < 2:
             pairs = now.join(open_, "bucket").filter("c <> lead.c").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"), F.least("n", "lead.n").alias("low"), F.greatest("n", "lead.n").alias("high"))
         else:
-            rest = now.join(open_.select("bucket"), "bucket", "left_semi")
-            left, right = (rest.select("bucket", *(F.col(c).alias(c + s) for c in ("rep", "n", "c"))) for s in ("_l", "_r"))
-            pairs = left.join(right, "bucket").filter("rep_l < rep_r and c_l <> c_r").select(F.col("rep_l").alias("a"), F.col("rep_r").alias("b"), F.least("n_l", "n_r").alias("low"), F.greatest("n_l", "n_r").alias("high"))
+            rest = now.join(open_.select("bucket"), "bucket", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
+            left, right = (rest.select("bucket", *(F.col(c).alias(c + s) for c in ("rep", "n", "c", "cells"))) for s in ("_l", "_r"))
+            # the distance is at least the sum over cells of the difference of counts
+            apart = sum(F.abs(F.get("cells_l", F.lit(i)) - F.get("cells_r", F.lit(i))) for i in range(CELLS))
+            near = (F.col("c_l") != F.col("c_r")) & (F.col("rep_l") < F.col("rep_r")) & (apart * (100 + percent) <= (F.col("n_l") + F.col("n_r")) * (100 - percent))
+            pairs = left.join(right, (left["bucket"] == right["bucket"]) & near).select(F.col("rep_l").alias("a"), F.col("rep_r").alias("b"), F.least("n_l", "n_r").alias("low"), F.greatest("n_l", "n_r").alias("high"))
         pairs = pairs.filter(F.col("low") * 100 >= F.col("high") * percent).select("a", "b").distinct()
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
