@@ -50,7 +50,7 @@ FREQUENT = 64
 #: A side of a join with up to so many ids (8 bytes each) is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Parts of the feature domain whose counts bound the distance of two sets from below.
-CELLS = 16
+CELLS = 64
 _U = np.uint64
 
 
