@@ -269,6 +269,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     regions = materialise(held.join(touched, held["doc_id"] == touched["rep"]).select("doc_id", "text", "anchors").mapInArrow(_regions(window, anchor), "doc_id bigint, start bigint, text string").dropDuplicates(["doc_id", "start"]), "regions")
     windows = regions.mapInArrow(_windows(window), "window bigint, doc_id bigint, start bigint, place int")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
+    firsts = materialise(firsts, "firsts")  # so that the join below has plain exchanges, whose hot windows are split
     marked = windows.join(firsts, "window").groupBy("doc_id", "start").agg(F.collect_list(F.struct("place", "first")).alias("m"))
     spans = regions.join(marked, ["doc_id", "start"]).select("doc_id", "start", "text", F.col("m.place").alias("places"), F.col("m.first").alias("firsts")).mapInArrow(_spans(window), "shard bigint, role int, doc_id bigint, start bigint, text string")
     spans = materialise(spans, "spans")
