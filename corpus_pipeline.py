@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_copies", near_copies), ("decontamination", decontaminate), ("secret_scan", secrets), ("byte_bpe", tokens)]
 
-#: SQL expresses none of the learned, signature and token stages: tests hold run() against a brute-force version.
+#: SQL expresses none of the learned, signature and token stages.
 ORACLE_SQL = None
 
 
