@@ -18,7 +18,9 @@ alone, never the result.
 Each bucket of equal signatures is read as a sorted stream, never gathered.
 Members are compared with leads, links are contracted to components, and only
 members of different components of one bucket are then compared with one
-another. Every link is verified on whole shingle sets.
+another, in pairs of blocks dealt over the tasks. Pairs whose counts of shingles
+by part of the feature domain show them too far apart are left; every link is
+verified on whole shingle sets.
 
 Nulls, empty texts and texts without words have empty sets and link with
 nothing. Equal sets are one class, whose members link. Rows with a null doc_id
@@ -49,8 +51,10 @@ SKETCH = 1 << 24
 FREQUENT = 64
 #: A side of a join with up to so many ids (8 bytes each) is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
-#: Parts of the feature domain whose counts bound the distance of two sets from below.
-CELLS = 64
+#: Parts of the feature domain whose counts bound the distance of two sets from below; so many are added up for a first look.
+CELLS, FOLD = 128, 8
+#: Members of a bucket are compared in blocks of about so many; candidates are looked at so many at a time.
+BLOCK, LOOK = 1024, 1 << 18
 _U = np.uint64
 
 
@@ -197,8 +201,60 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, n):
-            cells = [np.bincount((mix(s ^ _U(0xBEEF)) % _U(CELLS)).astype(np.int64), minlength=CELLS) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.list_(pa.int32()))], names=["doc_id", "shingles", "cells"])
+            cells = [np.minimum(np.bincount((mix(s ^ _U(0xBEEF)) % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["doc_id", "shingles", "cells"])
+
+    return run
+
+
+def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n: np.ndarray, c: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of one group, of both sides where it has two, of different components and not shown too far apart."""
+    order = np.lexsort((n, group))
+    group, side, rep, n, c, cells = (x[order] for x in (group, side, rep, n, c, cells))
+    cells = cells.astype(np.int16)
+    rough = cells.reshape(len(cells), -1, FOLD).sum(axis=2, dtype=np.int16)
+    two = np.zeros(group[-1] + 1, dtype=bool)
+    two[group[side == 1]] = True
+    after = np.arange(1, len(n) + 1)
+    counts = np.searchsorted((group << 40) + n, (group << 40) + n * 100 // percent, side="right") - after
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - counts[at] + LOOK, side="right")))
+        x = np.repeat(np.arange(at, to), counts[at:to])
+        y = np.arange(len(x)) - np.repeat(ends[at:to] - counts[at:to] - (ends[at] - counts[at]), counts[at:to]) + after[x]
+        at = to
+        keep = (c[x] != c[y]) & ((side[x] != side[y]) | ~two[group[x]])
+        x, y = x[keep], y[keep]
+        for counted in (rough, cells):
+            # the distance is at least the sum over parts of the difference of counts
+            apart = np.abs(counted[x] - counted[y]).sum(axis=1, dtype=np.int64)
+            keep = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            x, y = x[keep], y[keep]
+        if len(x):
+            found = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _blocks(percent: int) -> Callable:
+    """Reads members sorted by bucket and pair of blocks; holds one such group and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
+            now.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, CELLS))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            new = np.append(False, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]))
+            group, last = np.cumsum(new), int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if last:
+                yield from _close(percent, group[:last], *(x[:last] for x in now[3:]))
+            held = [x[last:] for x in now]
+        if held is not None:
+            yield from _close(percent, np.zeros(len(held[0]), dtype=np.int64), *held[3:])
 
     return run
 
@@ -240,7 +296,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     needed = members.select("rep").distinct()
     texts = docs.join(small(needed, needed.count()), docs["doc_id"] == F.col("rep"), "left_semi")
-    sets = materialise(texts.mapInArrow(_whole(shingle), "doc_id bigint, shingles binary, cells array<int>"), "sets")
+    sets = materialise(texts.mapInArrow(_whole(shingle), "doc_id bigint, shingles binary, cells binary"), "sets")
 
     links = spark.createDataFrame([], "u bigint, v bigint")
     done = spark.createDataFrame([], "a bigint, b bigint")
@@ -249,17 +305,14 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         now = members if group is None else members.join(group, members["rep"] == group["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
         if group is None:
             now = now.withColumn("c", F.col("rep"))
-        open_ = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(step))).alias("lead")).filter("c0 <> c1")
+        open_ = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(step))).alias("lead"), F.count("*").alias("size")).filter("c0 <> c1")
         if step < 2:
-            pairs = now.join(open_, "bucket").filter("c <> lead.c").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"), F.least("n", "lead.n").alias("low"), F.greatest("n", "lead.n").alias("high"))
+            pairs = now.join(open_, "bucket").filter("c <> lead.c").filter(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
         else:
-            rest = now.join(open_.select("bucket"), "bucket", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
-            left, right = (rest.select("bucket", *(F.col(c).alias(c + s) for c in ("rep", "n", "c", "cells"))) for s in ("_l", "_r"))
-            # the distance is at least the sum over cells of the difference of counts
-            apart = sum(F.abs(F.get("cells_l", F.lit(i)) - F.get("cells_r", F.lit(i))) for i in range(CELLS))
-            near = (F.col("c_l") != F.col("c_r")) & (F.col("rep_l") < F.col("rep_r")) & (apart * (100 + percent) <= (F.col("n_l") + F.col("n_r")) * (100 - percent))
-            pairs = left.join(right, (left["bucket"] == right["bucket"]) & near).select(F.col("rep_l").alias("a"), F.col("rep_r").alias("b"), F.least("n_l", "n_r").alias("low"), F.greatest("n_l", "n_r").alias("high"))
-        pairs = pairs.filter(F.col("low") * 100 >= F.col("high") * percent).select("a", "b").distinct()
+            rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
+            rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+            rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "rep", "n", "c", "cells")
+            pairs = rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a bigint, b bigint").distinct()
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if step < 2:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,34 @@ def test_ngram_join_empty(spark, docs):
     assert ngram_join.near_copies(docs.limit(0)).collect() == []
 
 
+def test_ngram_join_blocks():
+    """Every pair of different components that the counts leave open comes out, across batches and pairs of blocks."""
+    rng = np.random.default_rng(3)
+    rows, expected = [], set()
+    for bucket, (size, blocks) in enumerate([(2, 1), (40, 1), (50, 3), (1, 1), (30, 2)]):
+        base = rng.integers(0, 4, ngram_join.CELLS)
+        counts = np.maximum(0, base + rng.integers(-1, 2, (size, ngram_join.CELLS)) * (rng.random((size, 1)) < 0.6))
+        n, c, reps = counts.sum(axis=1), rng.integers(0, 3, size) + 10 * bucket, np.arange(size) + 1000 * bucket
+        for k in range(size):
+            for t in range(blocks):
+                own = k % blocks
+                rows.append((bucket, min(own, t), max(own, t), int(own > t), reps[k], n[k], c[k], counts[k].astype(np.uint8).tobytes()))
+            for m in range(k):
+                if c[k] != c[m] and 100 * max(n[k], n[m]) * 85 <= 100 * 100 * min(n[k], n[m]) and np.abs(counts[k] - counts[m]).sum() * 185 <= (n[k] + n[m]) * 15:
+                    expected.add((reps[m], reps[k]))
+    rows.sort(key=lambda r: r[:3])
+    types = [pa.int64()] * 7 + [pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 7]), types)], names=list("abcdefgh")) for k in range(0, len(rows), 7)]
+    got = {p for b in ngram_join._blocks(85)(iter(batches)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
+    assert got == expected and len(expected) > 50
+
+
+def test_ngram_join_many_blocks(docs, monkeypatch):
+    whole = sorted(map(tuple, ngram_join.near_copies(docs).collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    assert sorted(map(tuple, ngram_join.near_copies(docs).collect())) == whole
+
+
 def test_substring_dedup(docs):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicate(docs).collect()}
     first, expected = {}, {}
