@@ -202,7 +202,7 @@ def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, n):
             cells = [np.minimum(np.bincount((mix(s ^ _U(0xBEEF)) % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["doc_id", "shingles", "cells"])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["doc_id", "n", "shingles", "cells"])
 
     return run
 
@@ -259,6 +259,19 @@ def _blocks(percent: int) -> Callable:
     return run
 
 
+def _open(percent: int) -> Callable:
+    """The pairs that their counts by part do not show too far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            mask = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +309,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     needed = members.select("rep").distinct()
     texts = docs.join(small(needed, needed.count()), docs["doc_id"] == F.col("rep"), "left_semi")
-    sets = materialise(texts.mapInArrow(_whole(shingle), "doc_id bigint, shingles binary, cells binary"), "sets")
+    sets = materialise(texts.mapInArrow(_whole(shingle), "doc_id bigint, n bigint, shingles binary, cells binary"), "sets")
 
     links = spark.createDataFrame([], "u bigint, v bigint")
     done = spark.createDataFrame([], "a bigint, b bigint")
@@ -308,6 +321,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         open_ = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(step))).alias("lead"), F.count("*").alias("size")).filter("c0 <> c1")
         if step < 2:
             pairs = now.join(open_, "bucket").filter("c <> lead.c").filter(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+            left, right = (sets.select(F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col("cells").alias("cells_" + x)) for x in "ab")
+            pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(_open(percent), "a bigint, b bigint")
         else:
             rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
             rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
