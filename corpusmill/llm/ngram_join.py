@@ -55,6 +55,8 @@ BROADCAST_IDS = 1_000_000
 CELLS, FOLD = 128, 8
 #: Members of a bucket are compared in blocks of about so many; candidates are looked at so many at a time.
 BLOCK, LOOK = 1024, 1 << 18
+#: So many of its least buckets a member carries; a pair is left to the least bucket that both carry.
+LEAST, NONE = 16, (1 << 63) - 1
 _U = np.uint64
 
 
@@ -207,10 +209,10 @@ def _whole(n: int) -> Callable:
     return run
 
 
-def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n: np.ndarray, c: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n: np.ndarray, c: np.ndarray, bucket: np.ndarray, cells: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of one group, of both sides where it has two, of different components and not shown too far apart."""
     order = np.lexsort((n, group))
-    group, side, rep, n, c, cells = (x[order] for x in (group, side, rep, n, c, cells))
+    group, side, rep, n, c, bucket, cells, least = (x[order] for x in (group, side, rep, n, c, bucket, cells, least))
     cells = cells.astype(np.int16)
     rough = cells.reshape(len(cells), -1, FOLD).sum(axis=2, dtype=np.int16)
     two = np.zeros(group[-1] + 1, dtype=bool)
@@ -231,6 +233,11 @@ def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n
             apart = np.abs(counted[x] - counted[y]).sum(axis=1, dtype=np.int64)
             keep = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             x, y = x[keep], y[keep]
+        if len(x):
+            # both are members of every bucket that both carry, and the least of those gives the pair
+            before = (least[x][:, :, None] == least[y][:, None, :]) & (least[x] < bucket[x][:, None])[:, :, None]
+            keep = ~before.any(axis=(1, 2))
+            x, y = x[keep], y[keep]
         if len(x):
             found = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
@@ -245,7 +252,7 @@ def _blocks(percent: int) -> Callable:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
-            now.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, CELLS))
+            now += [now[0], np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, CELLS), np.array(batch.column(8).flatten()).reshape(-1, LEAST)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             new = np.append(False, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]))
@@ -325,8 +332,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(_open(percent), "a bigint, b bigint")
         else:
             rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
+            least = rest.groupBy("rep").agg(F.slice(F.concat(F.array_sort(F.collect_set("bucket")), F.array_repeat(F.lit(NONE), LEAST)), 1, LEAST).alias("least"))
+            rest = rest.join(least, "rep")
             rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-            rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "rep", "n", "c", "cells")
+            rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "rep", "n", "c", "cells", "least")
             pairs = rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a bigint, b bigint").distinct()
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
