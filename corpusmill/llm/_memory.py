@@ -1,4 +1,4 @@
-"""Gives memory that a finished task has freed back to the system, so that idle workers don't hold their peak."""
+"""Bounds the memory of Python workers: batches by bytes, and freed memory given back to the system at the end of a task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Bytes of an Arrow batch, which JVM and worker each hold several times; a longer row is a batch of its own.
+BATCH = 8 << 20
 
 
 @cache
@@ -15,7 +19,7 @@ def _trim() -> Callable[[int], int]:
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _frugal(run: Callable) -> Callable:
     """``run``, a function for mapInArrow, with its freed memory given back at the end of each task."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,3 +30,9 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             _trim()(0)
 
     return whole
+
+
+def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``df.mapInArrow`` with both bounds. The bound of batches is a setting of the session, read when the plan runs, and stays set."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df.mapInArrow(_frugal(run), schema)

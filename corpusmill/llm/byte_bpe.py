@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._memory import frugal
+from ._memory import mapped
 from ._store import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -231,7 +231,7 @@ def _code(name: str, pattern: str, path: str | None, whole: bool) -> Callable:
                 at += len(texts)
         own.forget()
 
-    return frugal(run)
+    return run
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -240,12 +240,12 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def encode_decode(docs: DataFrame, name: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded (string). ``path``: a rank file that all executors can read; else ``name`` is looked up there."""
-    return _inputs(docs).mapInArrow(_code(name, pattern, path, True), "doc_id bigint, n_tokens bigint, ids array<int>, decoded string")
+    return mapped(_inputs(docs), _code(name, pattern, path, True), "doc_id bigint, n_tokens bigint, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, name: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes. One pass, no shuffle."""
-    return _inputs(docs).mapInArrow(_code(name, pattern, path, False), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(_inputs(docs), _code(name, pattern, path, False), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

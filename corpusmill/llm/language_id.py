@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import slices
-from ._memory import frugal
+from ._memory import mapped
 from ._store import table
 
 DIMENSIONS = 512
@@ -102,7 +102,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and their unit vectors: DIMENSIONS numbers a language, whatever the corpus size."""
-    parts = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null").mapInArrow(frugal(_learn), "lang string, sums array<bigint>")
+    own = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    parts = mapped(own, _learn, "lang string, sums array<bigint>")
     rows = parts.select("lang", F.posexplode("sums").alias("d", "v")).groupBy("lang", "d").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("v")).collect()
     known = {r["lang"]: np.array([x["v"] for x in r["v"]], dtype=np.float64) for r in rows}
     known = {k: v / np.linalg.norm(v) for k, v in sorted(known.items()) if v.any()}
@@ -141,7 +142,7 @@ def classify(docs: DataFrame, known: tuple[list[str], np.ndarray], keep: list[st
     model = docs.sparkSession.sparkContext.broadcast(known)
     own = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", lang_pred string, score double"
-    return own.mapInArrow(frugal(_predict(model)), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return mapped(own, _predict(model), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

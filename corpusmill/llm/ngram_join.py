@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import mix, shingle_sets, signed, slices
 from ._components import components, forest
-from ._memory import frugal
+from ._memory import mapped
 from ._store import materialise, table
 
 SHINGLE = 4
@@ -301,7 +301,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """Per document doc_id, n_shingles and component_id, the smallest doc_id reachable by links (itself included)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    profile = materialise(docs.mapInArrow(frugal(_profile(shingle)), "doc_id bigint, n_shingles bigint, print binary, class bigint, cell int"), "profile")
+    profile = materialise(mapped(docs, _profile(shingle), "doc_id bigint, n_shingles bigint, print binary, class bigint, cell int"), "profile")
     high = profile.filter("n_shingles is null").groupBy("cell").agg(F.sum("doc_id").alias("n")).filter(F.col("n") >= FREQUENT).select("cell")
     bits = np.zeros(SKETCH, dtype=bool)
     bits[[r[0] for r in high.toLocalIterator()]] = True  # SKETCH cells at most
@@ -309,15 +309,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     profile = profile.filter("n_shingles is not null").drop("cell")
     classes = materialise(profile.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("class").alias("class")), "classes")
 
-    signs = docs.mapInArrow(frugal(_sign(shingle, percent, frequent)), "sig bigint, class bigint")
+    signs = mapped(docs, _sign(shingle, percent, frequent), "sig bigint, class bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = signs.repartition(parts, "sig").sortWithinPartitions("sig", "class").mapInArrow(frugal(_buckets), "bucket bigint, class bigint").distinct()
+    buckets = mapped(signs.repartition(parts, "sig").sortWithinPartitions("sig", "class"), _buckets, "bucket bigint, class bigint").distinct()
     # a class is named by 8 bytes of its fingerprint; should two share them, both are members
     members = materialise(buckets.join(classes, "class").select("bucket", "rep", "n"), "members")
 
     needed = members.select("rep").distinct()
     texts = docs.join(small(needed, needed.count()), docs["doc_id"] == F.col("rep"), "left_semi")
-    sets = materialise(texts.mapInArrow(frugal(_whole(shingle)), "doc_id bigint, n bigint, shingles binary, cells binary"), "sets")
+    sets = materialise(mapped(texts, _whole(shingle), "doc_id bigint, n bigint, shingles binary, cells binary"), "sets")
 
     links = spark.createDataFrame([], "u bigint, v bigint")
     done = spark.createDataFrame([], "a bigint, b bigint")
@@ -330,21 +330,21 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         if step < 2:
             pairs = now.join(open_, "bucket").filter("c <> lead.c").filter(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
             left, right = (sets.select(F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col("cells").alias("cells_" + x)) for x in "ab")
-            pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(frugal(_open(percent)), "a bigint, b bigint")
+            pairs = mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b"), _open(percent), "a bigint, b bigint")
         else:
             rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
             least = rest.groupBy("rep").agg(F.slice(F.concat(F.array_sort(F.collect_set("bucket")), F.array_repeat(F.lit(NONE), LEAST)), 1, LEAST).alias("least"))
             rest = rest.join(least, "rep")
             rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
             rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "rep", "n", "c", "cells", "least")
-            pairs = rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(frugal(_blocks(percent)), "a bigint, b bigint").distinct()
+            pairs = mapped(rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), _blocks(percent), "a bigint, b bigint").distinct()
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if step < 2:
                 continue
             break
         whole = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-        found = materialise(whole.select("a", "b", "left", "right").mapInArrow(frugal(_verify(percent)), "u bigint, v bigint"), "links")
+        found = materialise(mapped(whole.select("a", "b", "left", "right"), _verify(percent), "u bigint, v bigint"), "links")
         done, links = done.union(pairs), links.union(found)
         group = components(links, "groups")
         group = materialise(group, "group")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._memory import frugal
+from ._memory import mapped
 from ._store import table
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -138,7 +138,8 @@ def _scan(samples: list[tuple[str, int]] | None) -> Callable:
 
 def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None) -> DataFrame:
     """doc_id, counts of pattern spans by kind, the digest of pattern spans, and all spans. One pass, no shuffle."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(_scan(samples)), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(own, _scan(samples), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redacted(text: str | None, scorer: MarkovScorer, mask: str) -> str | None:
@@ -167,7 +168,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", samples: list[tuple[str, int
                 columns[k] = pa.array([c if x == y else len(y) for c, x, y in zip(columns[k].to_pylist(), old, new)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
