@@ -35,7 +35,7 @@ from ._store import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries kept in a task, bytes of text handled at a time, and the length from which a word is long.
-KEPT, PART, LONG = 400_000, 4 << 20, 1 << 11
+KEPT, PART, LONG = 400_000, 1 << 20, 1 << 11
 
 ENCODE = """
 WITH RECURSIVE state(k, tok, done) AS (  -- k: the word's number times 4096, plus the token's position
