@@ -5,8 +5,8 @@ recursive query joins neighbouring tokens with the merge table and contracts eac
 word's leftmost pair of minimum rank until no pair is left; words at their
 fixpoint leave the recursion. Decoding joins ids with the vocabulary and
 aggregates their bytes in order. Texts are cut by the tokenizer's pattern; the
-results of words met before are kept up to a fixed number and to the end of the
-task and then dropped, which changes speed only. Words above LONG bytes, for which contraction
+results of words met before are kept in a worker up to a fixed number and then
+dropped, which changes speed only. Words above LONG bytes, for which contraction
 by whole rounds takes quadratic time, go through the same merges with a heap.
 
 A null text is empty and has no ids. Special tokens are not known. Repeated rows
@@ -34,8 +34,8 @@ from ._memory import mapped
 from ._store import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries kept in a task, bytes of text handled at a time, and the length from which a word is long.
-KEPT, PART, LONG = 400_000, 1 << 20, 1 << 11
+#: Entries kept by a worker, bytes of text handled at a time, and the length from which a word is long.
+KEPT, PART, LONG = 900_000, 1 << 20, 1 << 11
 
 ENCODE = """
 WITH RECURSIVE state(k, tok, done) AS (  -- k: the word's number times 4096, plus the token's position
@@ -195,7 +195,7 @@ _coders: dict[tuple[str, str], Coder] = {}
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """One coder a worker process: its merge table outlives a task, its words don't."""
+    """One coder a worker process: its merge table outlives a task."""
     if (path, pattern) not in _coders:
         _coders[path, pattern] = Coder(path, pattern)
     return _coders[path, pattern]
@@ -229,7 +229,6 @@ def _code(name: str, pattern: str, path: str | None, whole: bool) -> Callable:
                     columns += [pa.array([hashlib.sha256(x).hexdigest() for x, _ in found], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for _, x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "a", "b"])
                 at += len(texts)
-        own.forget()
 
     return run
 
