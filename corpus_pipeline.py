@@ -5,7 +5,7 @@ as Parquet and read back as the next stage's docs. All but the last return the
 columns of documents. Decisions take effect:
 
 1. language: texts without a letter, or nearer to no language than LEAST, go.
-2. near_copies: of each group of near-copies the document with the smallest id stays.
+2. near_copies: of each group of near-copies (five words, 80 in 100) the document with the smallest id stays.
 3. decontaminate: documents that hold a benchmark item go.
 4. secrets: secrets are masked in the text; n_chars follows.
 5. tokens: the kept texts encoded and decoded, as digests by document.
@@ -24,6 +24,8 @@ from corpusmill.llm._store import materialise, table
 
 #: The least cosine with the best language.
 LEAST = 0.02
+#: Near-copies share 80 in 100 of their shingles of five words; op5's own query has its own figures.
+SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialise(ngram_join.near_copies(docs), "kept")
+    groups = materialise(ngram_join.near_copies(docs, shingle=SHINGLE, percent=PERCENT), "kept")
     drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(ngram_join.small(drop, drop.count()), "doc_id", "left_anti").select(docs.columns)
     twice = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
