@@ -27,7 +27,9 @@ from ._bytes import slices
 from ._memory import mapped
 from ._store import table
 
-DIMENSIONS = 512
+DIMENSIONS = 2048
+#: Trigrams bundled at once, which bounds a task's memory.
+PART = 512
 SYMBOLS = 64
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -52,9 +54,15 @@ def letters(dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 
 
+@cache
+def pairs() -> np.ndarray:
+    """The products of the first two letters of a trigram, a row for each pair."""
+    two, one, _ = letters()
+    return (two[:, None] * one).reshape(SYMBOLS**2, -1)
+
+
 def bound(codes: np.ndarray) -> np.ndarray:
-    two, one, zero = letters()
-    return two[codes >> 12] * one[codes >> 6 & 63] * zero[codes & 63]
+    return pairs()[codes >> 6] * letters()[2][codes & 63]
 
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,8 +87,8 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
 
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.zeros(DIMENSIONS, dtype=np.float64)
-    for at in range(0, len(codes), 4096):
-        total += counts[at : at + 4096].astype(np.float32) @ bound(codes[at : at + 4096]).astype(np.float32)
+    for at in range(0, len(codes), PART):
+        total += counts[at : at + PART].astype(np.float32) @ bound(codes[at : at + PART]).astype(np.float32)
     return np.rint(total).astype(np.int64)
 
 
@@ -114,9 +122,10 @@ def _predict(model: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = model.value
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, seen = [], [], []
             for _, raw, offsets in slices(batch):
                 for codes, counts in trigrams(raw, offsets):
+                    seen.append(len(codes))
                     own = bundle(codes, counts).astype(np.float64) if len(codes) and names else None
                     norm = np.linalg.norm(own) if own is not None else 0
                     if not norm:
@@ -127,7 +136,7 @@ def _predict(model: object) -> Callable:
                     best = int(np.argmax(cosines))
                     langs.append(names[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(seen, pa.int32())], names=[*batch.schema.names, "lang_pred", "score", "trigrams"])
 
     return run
 
@@ -138,11 +147,11 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
 
 
 def classify(docs: DataFrame, known: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs, lang_pred and score, by prototypes ``known``. One pass, no shuffle."""
+    """Columns ``keep`` of docs, lang_pred, score and the number of different trigrams, by prototypes ``known``. One pass, no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(known)
     own = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", lang_pred string, score double"
-    return mapped(own, _predict(model), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", lang_pred string, score double, trigrams int"
+    return mapped(own, _predict(model), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "trigrams")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from corpusmill.llm import language_id
 
 
 def _grams(text: str, n: int) -> set:
@@ -42,3 +45,29 @@ def test_near_copies(spark):
     assert got == [i for i, g in enumerate(group) if i == g]
     four = [_grams(t, 4) for t in rows]
     assert any(_close(sets[i], sets[i + 1], 80) and not _close(four[i], four[i + 1], 85) for i in range(0, 48, 2))
+
+
+FOREIGN = (
+    "Вчера вечером мы долго гуляли по старому городу и говорили о книгах, которые прочитали летом.",
+    "Χθες το βράδυ περπατήσαμε στην παλιά πόλη και μιλήσαμε για τα βιβλία που διαβάσαμε.",
+    "昨日の夜、私たちは古い町を歩きながら、夏に読んだ本について長い間話しました。友人は来月また来ると言いました。",
+    "Wczoraj wieczorem długo spacerowaliśmy po starym mieście i rozmawialiśmy o książkach, które przeczytaliśmy latem.",
+    "Eilen illalla kävelimme pitkään vanhassa kaupungissa ja puhuimme kirjoista, jotka luimme kesällä.",
+    "Dün akşam eski şehirde uzun süre yürüdük ve yazın okuduğumuz kitaplar hakkında konuştuk.",
+)
+
+
+def test_language(spark):
+    """Held-out texts with a letter and very short ones stay; foreign sentences and random letters of six scripts go."""
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = list(FOREIGN)
+    for low, high in ((97, 123), (0x430, 0x450), (0x3B1, 0x3CA), (0xAC00, 0xD7A4), (0x4E00, 0x9FA6), (0x627, 0x64B)):
+        for words in (20, 50, 200, 2000):
+            planted += [" ".join("".join(chr(rng.randrange(low, high)) for _ in range(rng.randint(2, 9))) for _ in range(words)) for _ in range(5)]
+    short = ["Avec.", "A.", "Die tz."]
+    more = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(planted + short)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(more.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns))), "").select("doc_id").collect()}
+    held = {r["doc_id"] for r in docs.filter(language_id.held_out(F.col("doc_id"))).select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert len(held) > 100 and held <= kept
+    assert {i - 10**9 for i in kept if i >= 10**9} == set(range(len(planted), len(planted + short)))
