@@ -54,6 +54,8 @@ FREQUENT = 64
 BROADCAST_IDS = 1_000_000
 #: Parts of the feature domain whose counts bound the distance of two sets from below; so many are added up for a first look.
 CELLS, FOLD = 128, 8
+#: Parts whose counts are looked at before whole sets are joined to a pair: large sets differ too little in fewer.
+FINE = 2048
 #: Members of a bucket are compared in blocks of about so many; candidates are looked at so many at a time.
 BLOCK, LOOK = 1024, 1 << 18
 #: So many of its least buckets a member carries; a pair is left to the least bucket that both carry.
@@ -204,8 +206,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, n):
-            cells = [np.minimum(np.bincount((mix(s ^ _U(0xBEEF)) % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())], names=["doc_id", "n", "shingles", "cells"])
+            cells, fine = ([np.minimum(np.bincount((mix(s ^ _U(0xBEEF)) % _U(k)).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes() for s in sets] for k in (CELLS, FINE))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "shingles", "cells", "fine"])
 
     return run
 
@@ -267,13 +269,13 @@ def _blocks(percent: int) -> Callable:
     return run
 
 
-def _open(percent: int) -> Callable:
+def _open(percent: int, parts: int = CELLS) -> Callable:
     """The pairs that their counts by part do not show too far apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, parts).astype(np.int16) for i in (4, 5))
             mask = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -297,6 +299,12 @@ def _verify(percent: int) -> Callable:
     return run
 
 
+def _apart(pairs: DataFrame, sets: DataFrame, cells: str, run: Callable) -> DataFrame:
+    """The pairs without those that ``run`` shows too far apart by column ``cells`` of sets."""
+    left, right = (sets.select(F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col(cells).alias("cells_" + x)) for x in "ab")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b"), run, "a bigint, b bigint")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document doc_id, n_shingles and component_id, the smallest doc_id reachable by links (itself included)."""
     spark = docs.sparkSession
@@ -317,7 +325,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     needed = members.select("rep").distinct()
     texts = docs.join(small(needed, needed.count()), docs["doc_id"] == F.col("rep"), "left_semi")
-    sets = materialise(mapped(texts, _whole(shingle), "doc_id bigint, n bigint, shingles binary, cells binary"), "sets")
+    sets = materialise(mapped(texts, _whole(shingle), "doc_id bigint, n bigint, shingles binary, cells binary, fine binary"), "sets")
 
     links = spark.createDataFrame([], "u bigint, v bigint")
     done = spark.createDataFrame([], "a bigint, b bigint")
@@ -329,8 +337,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         open_ = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(step))).alias("lead"), F.count("*").alias("size")).filter("c0 <> c1")
         if step < 2:
             pairs = now.join(open_, "bucket").filter("c <> lead.c").filter(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-            left, right = (sets.select(F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col("cells").alias("cells_" + x)) for x in "ab")
-            pairs = mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b"), _open(percent), "a bigint, b bigint")
+            pairs = _apart(pairs, sets, "cells", _open(percent))
         else:
             rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
             least = rest.groupBy("rep").agg(F.slice(F.concat(F.array_sort(F.collect_set("bucket")), F.array_repeat(F.lit(NONE), LEAST)), 1, LEAST).alias("least"))
@@ -343,7 +350,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             if step < 2:
                 continue
             break
-        whole = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+        near = materialise(_apart(pairs, sets, "fine", _open(percent, FINE)), "near")
+        whole = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
         found = materialise(mapped(whole.select("a", "b", "left", "right"), _verify(percent), "u bigint, v bigint"), "links")
         done, links = done.union(pairs), links.union(found)
         group = components(links, "groups")
