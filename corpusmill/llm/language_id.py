@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. The vector of a letter trigram is
+Every letter has a random vector of +1 and -1, drawn from its own seed. The vector of a letter trigram is
 the product (binding) of its letters' vectors, permuted by 2, 1 and 0 steps; a
 text's vector is the sum (bundle) of its trigrams' vectors, a language's
 prototype the sum over all its training texts. A text gets the language whose
@@ -10,7 +10,8 @@ how rows are partitioned.
 
 The prediction is `und` with score 0 where the text is null, empty or has no
 letter, and where nothing could be learned. Ties go to the smaller language name.
-Null languages teach nothing. Texts of any length are read whole.
+Null languages teach nothing. Texts of any length are read whole. Repeated rows
+give repeated results, an empty table an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,39 +31,61 @@ from ._store import table
 DIMENSIONS = 2048
 #: Trigrams bundled at once, which bounds a task's memory.
 PART = 512
-SYMBOLS = 64
+#: Letters whose vectors a worker keeps, DIMENSIONS bytes each; beyond, all are drawn again.
+LETTERS = 16_384
+BITS = 21
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 
 
+_MASK = (1 << BITS) - 1
+#: Bits of a trigram's code that are set where one of its letters is 128 or more.
+_BEYOND = (_MASK & ~127) * (1 | 1 << BITS | 1 << 2 * BITS)
+#: Codes of a-z and the gap, whose pairs have a table: 1 to 26 and 0.
+_PLAIN = np.full(128, 0, dtype=np.int64)
+_PLAIN[97:123] = np.arange(1, 27)
+
+
 @cache
 def symbols() -> np.ndarray:
-    """For each code point 0 (no letter) or its symbol: a-z 1 to 26, other letters 27 to 63 by their lower case."""
-    out = np.zeros(0x110000, dtype=np.uint8)
+    """For each code point its lower case if it is a letter, or 0."""
+    out = np.zeros(0x110000, dtype=np.uint32)
     for i in range(0x32400):  # no letters beyond
         c = chr(i)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[i] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 % 37
+            out[i] = ord(c.lower()[0])
     return out
 
 
-@cache
-def letters(dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The letter vectors permuted by 2, 1 and 0 steps."""
-    base = (np.random.default_rng(1009).integers(0, 2, (SYMBOLS, dimensions)) * 2 - 1).astype(np.int8)
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+_letters: dict[int, np.ndarray] = {}
+
+
+def letter(point: int) -> np.ndarray:
+    """The vector of a letter (0: the gap), from the letter's own seed."""
+    if point not in _letters:
+        if len(_letters) >= LETTERS:
+            _letters.clear()
+        _letters[point] = (np.random.default_rng([1009, point]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1).astype(np.int8)
+    return _letters[point]
 
 
 @cache
-def pairs() -> np.ndarray:
-    """The products of the first two letters of a trigram, a row for each pair."""
-    two, one, _ = letters()
-    return (two[:, None] * one).reshape(SYMBOLS**2, -1)
+def pairs() -> tuple[np.ndarray, np.ndarray]:
+    """The products of the first two letters of a trigram, a row for each pair of a-z and the gap; and the vectors of the third."""
+    base = np.stack([letter(p) for p in (0, *range(97, 123))])
+    return (np.roll(base, 2, axis=1)[:, None] * np.roll(base, 1, axis=1)).reshape(27 * 27, DIMENSIONS), base
 
 
 def bound(codes: np.ndarray) -> np.ndarray:
-    return pairs()[codes >> 6] * letters()[2][codes & 63]
+    """Vectors of trigrams: the product of their letters' vectors permuted by 2, 1 and 0 steps."""
+    a, b, c = codes >> 2 * BITS, codes >> BITS & _MASK, codes & _MASK
+    if int(max(a.max(), b.max(), c.max())) < 128:
+        two, base = pairs()
+        return two[_PLAIN[a] * 27 + _PLAIN[b]] * base[_PLAIN[c]]
+    points, at = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+    base = np.stack([letter(int(p)) for p in points])
+    x, y, z = at.reshape(3, -1)
+    return np.roll(base, 2, axis=1)[x] * np.roll(base, 1, axis=1)[y] * base[z]
 
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,16 +102,19 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
             found.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
             continue
         keep[1:] |= own[:-1] > 0
-        own = own[keep].astype(np.int32)
-        own = np.concatenate([[0], own, [0] if own[-1] else []]).astype(np.int32)
-        found.append(np.unique(own[:-2] << 12 | own[1:-1] << 6 | own[2:], return_counts=True))
+        own = own[keep].astype(np.int64)
+        own = np.concatenate([[0], own, [0] if own[-1] else []]).astype(np.int64)
+        found.append(np.unique(own[:-2] << 2 * BITS | own[1:-1] << BITS | own[2:], return_counts=True))
     return found
 
 
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.zeros(DIMENSIONS, dtype=np.float64)
-    for at in range(0, len(codes), PART):
-        total += counts[at : at + PART].astype(np.float32) @ bound(codes[at : at + PART]).astype(np.float32)
+    other = (codes & _BEYOND) != 0
+    for part in (~other, other):
+        own, n = codes[part], counts[part].astype(np.float32)
+        for at in range(0, len(own), PART):
+            total += n[at : at + PART] @ bound(own[at : at + PART]).astype(np.float32)
     return np.rint(total).astype(np.int64)
 
 
@@ -136,7 +162,7 @@ def _predict(model: object) -> Callable:
                     best = int(np.argmax(cosines))
                     langs.append(names[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(seen, pa.int32())], names=[*batch.schema.names, "lang_pred", "score", "trigrams"])
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(seen, pa.int32())], names=[*batch.schema.names, "r0", "r1", "r2"])
 
     return run
 
@@ -146,12 +172,16 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def classify(docs: DataFrame, known: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs, lang_pred, score and the number of different trigrams, by prototypes ``known``. One pass, no shuffle."""
+def classify(docs: DataFrame, known: tuple[list[str], np.ndarray], keep: list[str], prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of docs, lang_pred, score and trigrams, the number of different ones, by prototypes ``known``. One pass, no shuffle.
+
+    ``prefix`` goes before the names of the three results, should one of ``keep`` have such a name.
+    """
     model = docs.sparkSession.sparkContext.broadcast(known)
     own = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", lang_pred string, score double, trigrams int"
-    return mapped(own, _predict(model), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "trigrams")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", r0 string, r1 double, r2 int"
+    results = (F.col(f"r{i}").alias(prefix + x) for i, x in enumerate(("lang_pred", "score", "trigrams")))
+    return mapped(own, _predict(model), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
