@@ -2,11 +2,14 @@
 
 Two order-1 character models are trained from labelled samples, one of random
 strings (keys in base 16, 32, 62 and 64) and one of ordinary identifiers and
-words; a candidate run of characters is a secret when its mean log-likelihood
-ratio per character is above a threshold. Patterns always stay; a model span is
-added only where it overlaps no pattern span.
-
-A null text is empty. Offsets are code points, ends exclusive. Spans are joined
+words. A candidate is a run of key characters, or what pattern spans leave of it,
+of LEAST characters or more. It is a secret when its log-likelihood ratio, summed,
+outweighs the prior odds against a secret, and its mean per character is above a
+threshold; where the whole run is none, its parts between separators are asked.
+Patterns always stay; a model span overlaps no pattern span.
+
+A null text is empty. Texts of any length are read whole; a run of any length is
+one candidate. Offsets are code points, ends exclusive. Spans are joined
 by commas in order of start, then kind as listed in KINDS; no span gives "".
 Repeated rows give repeated results, an empty table an empty result, and other
 columns are passed over.
@@ -33,12 +36,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
-#: Candidates of the models: runs of at least so many characters that hold a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGIT = re.compile(r"[0-9]")
-LETTER = re.compile(r"[A-Za-z]")
-#: Nats per character by which the random model must be likelier.
-THRESHOLD = 0.35
+#: Candidates of the models: runs of at least so many of these characters.
+LEAST = 8
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+PART = re.compile(r"[A-Za-z0-9]{8,}")
+EDGES = "=-_/+"
+#: Nats by which the random model must be likelier: per character, and in all (the prior odds are one in a million).
+THRESHOLD, PRIOR = 0.35, math.log(1e6)
+#: Runs whose verdict a worker keeps, each of at most KEPT_LENGTH characters; beyond, all are judged again.
+KEPT, KEPT_LENGTH = 200_000, 64
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _INDEX = {c: i for i, c in enumerate(_ALPHABET)}
@@ -50,7 +56,7 @@ _WORDS = (
 
 
 def labelled_samples(seed: int = 7, each: int = 4000) -> list[tuple[str, int]]:
-    """The default training set: (string, 1) for random keys, (string, 0) for identifiers, words, paths and numbered names."""
+    """The default training set: (string, 1) for random keys, (string, 0) for identifiers, words, paths, numbered and invented names, and repeated characters."""
     rng = random.Random(seed)
     bases = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", _ALPHABET[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
     found = [("".join(rng.choice(bases[i % 5]) for _ in range(rng.randint(20, 64))), 1) for i in range(each)]
@@ -61,7 +67,12 @@ def labelled_samples(seed: int = 7, each: int = 4000) -> list[tuple[str, int]]:
     for i in range(each):
         found.append((joins[i % len(joins)]([rng.choice(_WORDS) for _ in range(rng.randint(3, 7))]), 0))
     found += [("".join(rng.choice("0123456789") for _ in range(rng.randint(20, 40))), 0) for _ in range(each // 10)]
-    found += [(rng.choice("=-_+/") * rng.randint(20, 60), 0) for _ in range(each // 20)]
+    found += [(rng.choice(_ALPHABET) * rng.randint(20, 60), 0) for _ in range(each // 10)]
+    # names of languages not listed: syllables of any consonants around a vowel
+    vowels, others = "aeiouy", "bcdfghjklmnpqrstvwxz"
+    for _ in range(each):
+        name = "".join(rng.choice(others) * (rng.random() < 0.8) + rng.choice(vowels) + rng.choice(vowels) * (rng.random() < 0.3) + rng.choice(others) * (rng.random() < 0.4) for _ in range(rng.randint(3, 9)))
+        found.append((rng.choice((name, name.title())), 0))
     return found
 
 
@@ -79,16 +90,38 @@ class MarkovScorer:
                 at = to
         logs = [[[math.log(x / sum(row)) for x in row] for row in model] for model in counts]
         self.ratio = [[logs[1][a][b] - logs[0][a][b] for b in range(size)] for a in range(size)]
+        self.kept: dict[str, list[tuple[int, int]]] = {}
 
-    def score(self, text: str) -> float:
-        if not text:
-            return float("-inf")
+    def total(self, text: str) -> float:
         total, at, end = 0.0, len(_ALPHABET), len(_ALPHABET)
         for c in text:
             to = _INDEX.get(c, end)
             total += self.ratio[at][to]
             at = to
-        return total / len(text)
+        return total
+
+    def score(self, text: str) -> float:
+        """The log-likelihood ratio per character."""
+        return self.total(text) / len(text) if text else float("-inf")
+
+    def is_secret(self, text: str, threshold: float = THRESHOLD) -> bool:
+        return len(text) >= LEAST and (total := self.total(text)) > PRIOR and total > threshold * len(text)
+
+    def found_in(self, run: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+        """Secrets in a run: the run without its edges, or else those of its parts between separators."""
+        if threshold == THRESHOLD and (known := self.kept.get(run)) is not None:
+            return known
+        bare = run.strip(EDGES)
+        if self.is_secret(bare, threshold):
+            at = run.index(bare)
+            found = [(at, at + len(bare))]
+        else:
+            found = [m.span() for m in PART.finditer(run) if len(m[0]) < len(bare) and self.is_secret(m[0], threshold)]
+        if threshold == THRESHOLD and len(run) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[run] = found
+        return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -101,14 +134,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def model_spans(text: str, base: list[tuple[int, int, int]], scorer: MarkovScorer, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    found = []
+    found, next_ = [], 0
+    base = sorted(base)
     for m in CANDIDATE.finditer(text):
-        run, start, end = m[0].strip("=-_/+"), m.start(), m.end()
-        if not DIGIT.search(run) or not LETTER.search(run) or any(s < end and start < e for s, _, e in base):
+        start, end = m.span()
+        while next_ < len(base) and base[next_][2] <= start:
+            next_ += 1
+        if next_ == len(base) or base[next_][0] >= end:
+            found += [(start + a, 3, start + b) for a, b in scorer.found_in(m[0], threshold)]
             continue
-        if len(run) >= 20 and scorer.score(run) > threshold:
-            at = start + m[0].index(run)
-            found.append((at, 3, at + len(run)))
+        at = start
+        for k in range(next_, len(base)):  # what pattern spans leave of the run
+            s, _, e = base[k]
+            if s >= end:
+                break
+            found += [(at + a, 3, at + b) for a, b in scorer.found_in(text[at:s], threshold)] if s - at >= LEAST else []
+            at = max(at, e)
+        found += [(at + a, 3, at + b) for a, b in scorer.found_in(text[at:end], threshold)] if end - at >= LEAST else []
     return found
 
 
