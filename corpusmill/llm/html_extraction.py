@@ -10,7 +10,8 @@ Hidden elements and form controls are never text.
 
 A null, empty or textless page gives an empty text and 0 characters. Broken
 markup is read on as far as possible; pages of any length are read whole.
-Repeated rows give repeated results, an empty table an empty result.
+Repeated rows give repeated results, an empty table an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._html import Block, blocks
+from ._html import Block, Element, blocks
 from ._store import table
 
 _BOILER_TAGS = {"nav": 0, "footer": 1, "aside": 2, "form": 3, "header": 4, "menu": 0, "button": 3, "select": 3, "dialog": 2, "fieldset": 3, "option": 3, "legend": 3}
@@ -44,23 +45,35 @@ _MARKS = re.compile(r"[.,;:!?]")
 FEATURES = 16
 
 
-def features(block: Block) -> np.ndarray:
-    x = np.zeros(FEATURES)
-    x[0] = 1
-    inside = False
-    for e in reversed(block.path):  # from the root inwards
+def inherited(element: Element) -> tuple[list[float], bool, bool]:
+    """The features that an element passes on to its text, whether it lies in the article, and in a form's control; kept with each element."""
+    open_: list[Element] = []
+    e: Element | None = element
+    while e is not None and e.inherited is None:
+        open_.append(e)
+        e = e.parent
+    x, inside, control = ([1.0] + [0.0] * (FEATURES - 1), False, False) if e is None else e.inherited
+    for e in reversed(open_):  # from the root inwards
+        x = list(x)
         if e.tag in _MAIN_TAGS or e.names and "article" in e.names.split():
-            x[1], inside = 1, True
-            x[6] = 0
+            x[1], inside = 1.0, True
+            x[6] = 0.0
         if (k := _BOILER_TAGS.get(e.tag)) is not None and not (e.tag == "header" and inside):
-            x[2 + k] = 1
+            x[2 + k] = 1.0
         if e.names and e.tag not in ("body", "html"):
             if _COMMENT.search(e.names):
-                x[8] = 1
+                x[8] = 1.0
             elif _BOILER.search(e.names):
-                x[7] = 1
+                x[7] = 1.0
             elif _MAIN.search(e.names):
-                x[9] = 1
+                x[9] = 1.0
+        control = control or e.tag in _CONTROLS
+        e.inherited = x, inside, control
+    return element.inherited
+
+
+def features(block: Block) -> np.ndarray:
+    x = np.array(inherited(block.element)[0])
     size = len(block.text)
     x[10] = min(1.0, block.linked / size)
     x[11] = min(1.0, math.log1p(size) / 7)
@@ -235,23 +248,31 @@ def min_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int,
 SMOOTH = (0.8, 0.3, 0.1)
 
 
+def around(block: Block) -> dict[int, int]:
+    """The nearest elements around a block's own, by number, and how many steps above its parent they are."""
+    found, e = {}, block.element.parent
+    while e is not None and len(found) < len(SMOOTH):
+        found[e.number] = len(found)
+        e = e.parent
+    return found
+
+
 def main_blocks(found: list[Block]) -> list[Block]:
-    found = [b for b in found if not any(e.hidden or e.tag in _CONTROLS for e in b.path)]
+    found = [b for b in found if not b.element.hidden and not inherited(b.element)[2]]
     if not found:
         return []
     p = 1 / (1 + np.exp(-np.clip(np.array([features(b) for b in found]) @ weights(), -30, 30)))
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    edges, last = [], {}
+    edges, last, before = [], {}, {}
     for i, b in enumerate(found):
-        if i:
-            own = {e.number: d for d, e in enumerate(b.path[1:])}
-            up = next((max(d, own[e.number]) for d, e in enumerate(found[i - 1].path[1:]) if e.number in own), len(SMOOTH))
-            if up < len(SMOOTH):
-                edges.append((i - 1, i, SMOOTH[up]))
-        parent = b.path[1].number if len(b.path) > 1 else 0
+        own = around(b)
+        up = next((max(d, own[k]) for k, d in before.items() if k in own), None) if i else None
+        if up is not None:
+            edges.append((i - 1, i, SMOOTH[up]))
+        parent = b.element.parent.number if b.element.parent else 0
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, SMOOTH[0] / 2))
-        last[parent] = i
+        last[parent], before = i, own
     kept = min_cut((-np.log(1 - p)).tolist(), (-np.log(p)).tolist(), edges)
     return [b for b, k in zip(found, kept) if k]
 
