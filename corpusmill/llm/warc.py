@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._html import visible_text
+from ._memory import mapped
 from ._store import table
 
 CRLF = b"\r\n"
@@ -56,8 +57,8 @@ class Record:
 
 
 def parse(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file, plain or with one gzip member a record."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """The records of a WARC file, plain or with one gzip member a record, one after another: only one is held unpacked."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -103,7 +104,7 @@ def derive(source: Record) -> tuple[Record, Record]:
     charset = (m[1] if (m := _CHARSET.search(kind)) else "utf-8").lower()
     try:
         page = payload.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):  # no such charset, or none of texts
         charset, page = "utf-8", payload.decode("utf-8", "replace")
     text = (visible_text(page) if "html" in kind.lower() or not kind else page).encode()
     id_, uri, date = (source.get(k) or "" for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
@@ -139,9 +140,26 @@ def _derive(kinds: tuple[str, ...]) -> Callable:
 def records(pages: DataFrame, kinds: tuple[str, ...] = ("metadata", "conversion")) -> DataFrame:
     """One row a record: its main headers and its bytes. One pass, no shuffle."""
     own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return own.mapInArrow(_derive(kinds), SCHEMA)
+    return mapped(own, _derive(kinds), SCHEMA)
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    for batch in batches:
+        for content in batch.column(0):
+            for source in parse(content.as_py() or b""):
+                if (source.get("WARC-Type") or "").lower() != "response":
+                    continue
+                found = derive(source)
+                columns = [pa.nulls(len(found), pa.int64()), *(pa.array([r.get(h) for r in found], pa.string()) for h in _HEADERS), pa.array([len(r.block) for r in found], pa.int64()), pa.array([r.to_bytes() for r in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def derive_files(spark: SparkSession, path: str) -> DataFrame:
+    """As ``records``, of the response records of the WARC files at ``path`` (plain or gzip by member; at most 2 GB a file as stored); page_id is null."""
+    return mapped(spark.read.format("binaryFile").load(path).select("content"), _files, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = records(table(spark, sf_dir, "pages"))
-    return found.select(*(c for c in found.columns if c != "record"), F.sha2("record", 256).alias("record_sha256"))
+    return found.withColumn("record_sha256", F.sha2("record", 256))
