@@ -1,6 +1,9 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
-Vectors of one label and length are dealt into tiles of about TILE vectors. A
+Vectors of one label and length are dealt into tiles of about TILE_BYTES. Each
+pair of tiles of a label meets in one task, by one shuffle; so a tile travels once
+for every tile of its label, in the precision of its input (4 bytes a component of
+array<float>, which is exact). A
 vector x of length 1 is s*q + e with whole q in [-127, 127]; so the cosine of x
 and y is at most s_x*s_y*(q_x.q_y) + |e_x| + (1 + |e_x|)*|e_y|. A tile product of
 the q (exact in 32-bit floats) gives that bound for all pairs of two tiles, and
@@ -26,27 +29,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components, forest
+from ._memory import mapped
 from ._store import materialise, table
 
 THRESHOLD = 0.98
-TILE = 1024
+#: Bytes of a tile's vectors: the larger, the less is shuffled; a task holds two tiles.
+TILE_BYTES = 4 << 20
 _ROWS = 256
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, and for valid vectors their length, fingerprint and components as doubles."""
-    for batch in batches:
-        ids, vectors, labels = batch.columns
-        raws, prints = [], []
-        for i, v, label in zip(ids, vectors, labels):
-            x = None
-            if i.is_valid and v.is_valid and label.is_valid and len(v) and not v.values.null_count:
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                if not np.isfinite(x).all() or not x.any():
-                    x = None
-            raws.append(None if x is None else x.tobytes())
-            prints.append(None if x is None else hashlib.blake2b(raws[-1] + str(label.as_py()).encode(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([ids, labels, pa.array(prints, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "print", "raw"])
+def _profile(width: int) -> Callable:
+    """vec_id, label, and for valid vectors their fingerprint and components as floats of ``width`` bytes."""
+    kind = np.dtype(f"<f{width}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors, labels = batch.columns
+            raws, prints = [], []
+            for i, v, label in zip(ids, vectors, labels):
+                x = None
+                if i.is_valid and v.is_valid and label.is_valid and len(v) and not v.values.null_count:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                raws.append(None if x is None else x.tobytes())
+                prints.append(None if x is None else hashlib.blake2b(raws[-1] + str(label.as_py()).encode(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([ids, labels, pa.array(prints, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "print", "raw"])
+
+    return run
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +67,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row: the ids, copies and unit vectors of a tile."""
+    """One row: the ids, copies and vectors of a tile."""
     raw = b"".join(x.as_py() for x in rows.column("raw"))
     return pa.table({"label": [key[0].as_py()], "size": [key[1].as_py()], "tile": [key[2].as_py()], "tiles": [rows.column("tiles")[0].as_py()], "ids": [rows.column("rep").to_numpy().astype(np.int64).tobytes()], "copies": [rows.column("copies").to_numpy().astype(np.int64).tobytes()], "raw": [raw]}, schema=_TILES)
 
@@ -84,44 +94,62 @@ def tile_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> It
                 yield a[keep], b[keep]
 
 
-def _compare(threshold: float) -> Callable:
+def _unit(raw: pa.Scalar, kind: np.dtype, size: int) -> np.ndarray:
+    x = np.frombuffer(raw.as_buffer(), dtype=kind).astype(np.float64).reshape(-1, size)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _compare(threshold: float, width: int) -> Callable:
+    """Reads tiles sorted by pair, the left one first: gives (u, u, links of u) and a spanning forest of the links as (u, v, 0)."""
+    kind = np.dtype(f"<f{width}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = left = None
         for batch in batches:
-            for size, same, *cells in zip(*(batch.column(i) for i in range(batch.num_columns))):
-                ids, copies, raw, ids2, copies2, raw2 = (np.frombuffer(c.as_buffer(), dtype=t) for c, t in zip(cells, (np.int64, np.int64, np.float64) * 2))
-                x, y = raw.reshape(-1, size.as_py()), raw2.reshape(-1, size.as_py())
-                x, y = (z / np.linalg.norm(z / np.abs(z).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(z).max(axis=1, keepdims=True) for z in (x, y))
+            for row in range(batch.num_rows):
+                label, size, i, j, _, ids, copies, raw = (batch.column(k)[row] for k in range(batch.num_columns))
+                own = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(copies.as_buffer(), np.int64), _unit(raw, kind, size.as_py())
+                if (label, size, i, j) != key:
+                    key, left = (label, size, i, j), own
+                    if i != j:
+                        continue
+                (ids1, copies1, x), (ids2, copies2, y) = left, own
                 counts, counts2, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                for a, b in tile_links(x, y, same.as_py(), threshold):
+                for a, b in tile_links(x, y, i == j, threshold):
                     np.add.at(counts, a, copies2[b])
-                    np.add.at(counts2, b, copies[a])
-                    edges = forest(np.concatenate([edges[0], ids[a]]), np.concatenate([edges[1], ids2[b]]))
+                    np.add.at(counts2, b, copies1[a])
+                    edges = forest(np.concatenate([edges[0], ids1[a]]), np.concatenate([edges[1], ids2[b]]))
                 on, on2 = counts > 0, counts2 > 0
-                u = np.concatenate([ids[on], ids2[on2], edges[0]])
+                u = np.concatenate([ids1[on], ids2[on2], edges[0]])
                 n = np.concatenate([counts[on], counts2[on2], np.zeros(len(edges[0]), np.int64)])
-                v = np.concatenate([ids[on], ids2[on2], edges[1]])
+                v = np.concatenate([ids1[on], ids2[on2], edges[1]])
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    own = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("bigint").alias("label"))
-    profile = own.mapInArrow(_profile, "vec_id bigint, label bigint, print binary, raw binary")
-    classes = materialise(profile.filter("print is not null").groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("raw").alias("raw")).withColumn("size", (F.length("raw") / 8).cast("bigint")), "classes")
-    sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / tile).cast("bigint").alias("tiles"))
+    spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    width, kind = (4, "array<float>") if kind == "array<float>" else (8, "array<double>")
+    own = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("bigint").alias("label"))
+    profile = own.mapInArrow(_profile(width), "vec_id bigint, label bigint, print binary, raw binary")
+    classes = materialise(profile.filter("print is not null").groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("raw").alias("raw")).withColumn("size", (F.length("raw") / width).cast("bigint")), "classes")
+    sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") * F.col("size") * width / tile_bytes).cast("bigint").alias("tiles"))
     dealt = classes.join(sizes, ["label", "size"]).withColumn("tile", F.pmod(F.xxhash64("print"), F.col("tiles")))
     tiles = materialise(dealt.groupBy("label", "size", "tile").applyInArrow(_tile, "label bigint, size bigint, tile bigint, tiles bigint, ids binary, copies binary, raw binary"), "tiles")
-    left = tiles.select("label", "size", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), "ids", "copies", "raw")
-    right = tiles.select("label", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), "tile")).alias("i"), F.col("tile").alias("j"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("raw").alias("raw2"))
-    pairs = left.join(right, ["label", "size", "i", "j"]).select("size", (F.col("i") == F.col("j")).alias("same"), "ids", "copies", "raw", "ids2", "copies2", "raw2")
-    found = materialise(pairs.mapInArrow(_compare(threshold), "u bigint, v bigint, n bigint"), "links")
+    sent = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    sent = sent.select("label", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "ids", "copies", "raw")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = sent.repartition(parts, "label", "size", "i", "j").sortWithinPartitions("label", "size", "i", "j", "side")
+    found = materialise(mapped(pairs, _compare(threshold, width), "u bigint, v bigint, n bigint"), "links")
     groups = components(found.filter("u <> v").select("u", "v"))
     counts = found.filter("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     of = classes.join(counts, "rep", "left").join(groups, F.col("rep") == groups["node"], "left").select("print", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows = own.mapInArrow(_profile, "vec_id bigint, label bigint, print binary, raw binary").select("vec_id", "print").join(of, "print", "left")
+    rows = own.mapInArrow(_profile(width), "vec_id bigint, label bigint, print binary, raw binary").select("vec_id", "print").join(of, "print", "left")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
