@@ -47,9 +47,10 @@ from ._store import materialise, table
 
 SHINGLE = 4
 PERCENT = 85
-#: Counters of the sketch of frequent shingles, and the count from which a shingle is frequent.
+#: Counters of the sketch of frequent shingles. A counter of FREQUENT, and of FREQUENT_TIMES the mean over all
+#: documents, is frequent: at most one counter in FREQUENT_TIMES, however large the corpus.
 SKETCH = 1 << 24
-FREQUENT = 64
+FREQUENT, FREQUENT_TIMES = 64, 16
 #: A side of a join with up to so many ids (8 bytes each) is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Parts of the feature domain whose counts bound the distance of two sets from below; so many are added up for a first look.
@@ -160,8 +161,9 @@ def _sign(n: int, percent: int, frequent: object) -> Callable:
         out, held = [], 0
         for _, sets in _sets(batches, n):
             for s in sets:
-                if len(s) and (key := _key(fingerprint(s))) not in seen:
-                    seen.add(key)
+                if len(s) and (print_ := fingerprint(s)) not in seen:
+                    seen.add(print_)
+                    key = _key(print_)
                     cell = _cell(s)
                     found = signatures(s, (bits[cell >> 3] >> (cell & 7) & 1).astype(bool), bands)
                     out.append((found, np.full(len(found), key, dtype=np.int64)))
@@ -310,9 +312,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     profile = materialise(mapped(docs, _profile(shingle), "doc_id bigint, n_shingles bigint, print binary, class bigint, cell int"), "profile")
-    high = profile.filter("n_shingles is null").groupBy("cell").agg(F.sum("doc_id").alias("n")).filter(F.col("n") >= FREQUENT).select("cell")
+    mean = (profile.agg(F.sum("n_shingles")).first()[0] or 0) / SKETCH
+    high = profile.filter("cell is not null").groupBy("cell").agg(F.sum("doc_id").alias("n")).filter(F.col("n") >= FREQUENT + FREQUENT_TIMES * mean).select("cell")
     bits = np.zeros(SKETCH, dtype=bool)
-    bits[[r[0] for r in high.toLocalIterator()]] = True  # SKETCH cells at most
+    bits[[r[0] for r in high.toLocalIterator()]] = True  # SKETCH / FREQUENT_TIMES cells at most
     frequent = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
     profile = profile.filter("n_shingles is not null").drop("cell")
     classes = materialise(profile.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("class").alias("class")), "classes")
@@ -367,3 +370,21 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by brute force: documents that share a shingle are compared.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(t) >= 4 THEN list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))
+                                        WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n, g FROM s),
+e AS (SELECT doc_id, n, hash(unnest(g)) AS x FROM n),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, l.v FROM reach r JOIN links l ON l.u = r.c)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) m ON m.id = n.doc_id
+"""
