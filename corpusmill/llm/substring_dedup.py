@@ -293,3 +293,18 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by brute force: every window of every document, and the first document of each.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, unnest(range(1, len(t) - 48)) AS i, t FROM w WHERE len(t) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(t[i:i + 49], ' ')) AS x FROM g),
+f AS (SELECT x, min(doc_id) AS first FROM h GROUP BY x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN f USING (x) WHERE first < doc_id),
+d AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+r AS (SELECT w.doc_id, len(t)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+             CASE WHEN gone IS NULL THEN t ELSE list_transform(list_filter(range(1, len(t) + 1), lambda i: NOT list_contains(gone, i)), lambda i: t[i]) END AS kept
+      FROM w LEFT JOIN d USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r
+"""
