@@ -10,7 +10,7 @@ dropped, which changes speed only. Words above LONG bytes, for which contraction
 by whole rounds takes quadratic time, go through the same merges with a heap.
 
 A null text is empty and has no ids. Special tokens are not known. Repeated rows
-give repeated results, an empty table an empty result.
+give repeated results, an empty table an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from ._store import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries kept by a worker, bytes of text handled at a time, and the length from which a word is long.
 KEPT, PART, LONG = 900_000, 1 << 20, 1 << 11
+#: Bytes of open words, and words, of one recursive query. DuckDB writes no files: what a query needs fits its memory.
+ROUND_BYTES, ROUND_WORDS = 1 << 19, 30_000
 
 ENCODE = """
 WITH RECURSIVE state(k, tok, done) AS (  -- k: the word's number times 4096, plus the token's position
@@ -80,7 +82,7 @@ class Coder:
                     rank.append(value)
         merges = pa.table({"pair": np.array(left, np.int64) << 20 | np.array(right, np.int64), "rank": np.array(rank, np.int32)})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [x.decode("latin-1") for x in self.ranks]})  # a character for each byte
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
@@ -99,8 +101,12 @@ class Coder:
         whole, long_ = given >= 0, (given < 0) & (sizes > LONG)
         keys, ids = [np.flatnonzero(whole) << 12], [given[whole].astype(np.int32)]
         open_ = np.flatnonzero(~whole & ~long_ & (sizes > 0))
-        for at in range(0, len(open_), 30_000):
-            some = open_[at : at + 30_000]
+        at, through = 0, np.cumsum(sizes[open_])
+        while at < len(open_):
+            before = through[at] - sizes[open_[at]]
+            to = min(at + ROUND_WORDS, max(at + 1, int(np.searchsorted(through, before + ROUND_BYTES, side="right"))))
+            some = open_[at:to]
+            at = to
             lengths = sizes[some]
             raw = np.frombuffer(b"".join([words[i] for i in some]), dtype=np.uint8)
             place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -220,8 +226,10 @@ def _code(name: str, pattern: str, path: str | None, whole: bool) -> Callable:
             at = 0
             for texts in _parts(batch.column(1).to_pylist()):
                 gc.disable()  # a scan of all that is kept would find nothing
-                found = own.code(texts)
-                gc.enable()
+                try:
+                    found = own.code(texts)
+                finally:
+                    gc.enable()
                 columns = [batch.column(0).slice(at, len(texts)), pa.array([len(a) // 4 for a, _ in found], pa.int64())]
                 if whole:
                     columns += [pa.array([np.frombuffer(a, dtype="<u4").astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([b.decode("utf-8") for _, b in found], pa.string())]
