@@ -24,8 +24,8 @@ from ._store import materialise, table
 
 WORDS = 5
 PERCENT = 80
-#: A sketch table or candidate list of up to so many rows (24 bytes each) is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 500_000
+#: A side of a join that is up to so many bytes as rows in memory is broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -43,8 +43,11 @@ def _spaced(run: Column) -> Column:
     return F.array_join(run, " ")
 
 
-def _at_hand(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _at_hand(df: DataFrame, texts: str | None = None) -> DataFrame:
+    """``df`` (a written table), broadcast if its rows, by count and by the bytes of the strings in array column ``texts``, are few."""
+    strings = F.lit(0) if texts is None else F.aggregate(texts, F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x) + 16)
+    size = df.agg(F.coalesce(F.sum(strings + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -61,9 +64,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     sketch = materialise(sketch.select("item_id", "n_shingles", F.explode(F.slice("hashes", 1, F.col("k"))).alias("h")), "sketch")
 
     probes = tokens.select("doc_id", F.explode(_grams(F.col("tokens"), F.xxhash64)).alias("h"))
-    candidates = materialise(probes.join(_at_hand(sketch, sketch.count()), "h").groupBy("doc_id", "item_id").agg(F.lit(1).alias("one")).select("doc_id", "item_id"), "candidates")
+    candidates = materialise(probes.join(_at_hand(sketch), "h").groupBy("doc_id", "item_id").agg(F.lit(1).alias("one")).select("doc_id", "item_id"), "candidates")
 
-    pairs = tokens.join(_at_hand(candidates, candidates.count()), "doc_id").join(_at_hand(own, own.count()), "item_id")
+    pairs = tokens.join(_at_hand(candidates), "doc_id").join(_at_hand(own, "shingles"), "item_id")
     shared = F.size(F.array_intersect(F.col("shingles"), _grams(F.col("tokens"), _spaced))).cast("bigint")
     found = pairs.select("doc_id", "item_id", "n_shingles", shared.alias("n_shared")).filter(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared")).alias("b"))
