@@ -5,12 +5,14 @@ vector of character and word statistics; a hidden layer embeds it; gated
 attention (tanh and sigmoid branches) weighs the passages of a document, and a
 logistic unit scores the weighted representation. All weights are learned from
 document labels alone, by gradient steps on a sample of at most TRAIN_ROWS
-labelled documents, chosen by a hash of their ids. Only the text is an input.
+labelled documents, chosen by a hash of their ids, TRAIN_PASSAGES passages of each
+at most; a score is of the whole text. Only the text is an input.
 
 Null and empty texts are bags without passages: their score is that of a zero
 representation. Texts of any length are read whole. Without labelled rows every
 score is 0.5. Repeated labels of a document count once, by the larger. Repeated
-documents give repeated results, an empty table an empty result.
+documents give repeated results, an empty table an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from ._bytes import slices, word_hashes, words
 from ._store import table
 
 PASSAGE = 48
-#: The bound of the training sample, documents.
-TRAIN_ROWS = 8_000
+#: The bounds of the training sample: documents, and passages of each, evenly spread over a longer one.
+TRAIN_ROWS, TRAIN_PASSAGES = 8_000, 256
 CUT = 0.3
 FOLDS, HELD_OUT = 5, 0
 HIDDEN, GATE = 16, 8
@@ -152,7 +154,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in slices(batch):
             x, bags = encode(raw, offsets)
             edges = np.concatenate([[0], np.cumsum(bags)])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "quality", "bag"])
+            chosen = (x[a:b] if b - a <= TRAIN_PASSAGES else x[np.linspace(a, b - 1, TRAIN_PASSAGES).astype(np.int64)] for a, b in zip(edges[:-1], edges[1:]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in chosen], pa.binary())], names=["doc_id", "quality", "bag"])
 
 
 def held_out(doc_id: Column) -> Column:
