@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality_mil, secret_scan, substring_dedup, warc
+from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, pipeline, quality_mil, secret_scan, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_mil": quality_mil.query,
@@ -17,9 +15,11 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.query,
     "op9_html_extraction": html_extraction.query,
     "op10_decontamination": decontamination.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.SQL,
+    "op5_ngram_jaccard_join": ngram_join.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
     "op10_decontamination": decontamination.SQL,
 }
