@@ -1,11 +1,13 @@
 """Stages of the pipeline against brute force and planted rows."""
 
+import collections
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from corpusmill.llm import language_id
+from corpusmill.llm import byte_bpe, language_id, secret_scan
+from corpusmill.llm import pipeline as corpus_pipeline
 
 
 def _grams(text: str, n: int) -> set:
@@ -71,3 +73,63 @@ def test_language(spark):
     held = {r["doc_id"] for r in docs.filter(language_id.held_out(F.col("doc_id"))).select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")}
     assert len(held) > 100 and held <= kept
     assert {i - 10**9 for i in kept if i >= 10**9} == set(range(len(planted), len(planted + short)))
+
+
+def test_run(spark, tmp_path):
+    """The whole pipeline on a table with planted rows, nulls, shared ids and columns named as the operators' own, against plain Python."""
+    import public_tokenizers
+    import tiktoken
+
+    d = "/root/testdata/sf0.001"
+    base = spark.read.parquet(d + "/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(120)
+    item = spark.read.parquet(d + "/benchmark.parquet").first()["text"]
+    first = base.filter("length(text) > 400").orderBy("doc_id").first()
+    words = first["text"].split()
+    copy = " ".join(words[:20] + ["other"] + words[21:])
+    planted = [(9001, first["text"]), (9002, copy), (9003, "Here is what was asked: " + item + " And so it goes."), (9004, "the key is password=hunter2hunter2 and so on"), (9005, None), (9006, ""), (9007, "123 !!"), (None, "A text of no one at all."), (9008, "One text with this id here."), (9008, "Another text with this id there."), (9008, "One text with this id here.")]
+    rows = [tuple(r) for r in base.collect()] + [(i, t, "en", "s", len(t or "")) for i, t in planted]
+    docs = spark.createDataFrame([(*r, 7, "x", "y") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, lang_pred string, component_id string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(d + "/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.language(spark, docs, str(tmp_path)).select("doc_id", "text").collect()]
+    assert {9001, 9003, 9004, 9008, None} <= {i for i, _ in kept} and not {9005, 9006, 9007} & {i for i, _ in kept}
+    by = collections.defaultdict(set)
+    for i, t in kept:
+        if i is not None:
+            by[i].add(t)
+    sets = [(i, _grams(t, 5)) for i, ts in by.items() for t in ts]
+    group = {i: i for i in by}
+    changed = True
+    while changed:
+        changed = False
+        for n, (a, s) in enumerate(sets):
+            for b, t in sets[:n]:
+                if group[a] != group[b] and _close(s, t, 80):
+                    group[a] = group[b] = min(group[a], group[b])
+                    changed = True
+    assert group[9001] == group[9002] == first["doc_id"]
+    left = [(i, t) for i in by if group[i] == i for t in by[i]] + [(i, t) for i, t in kept if i is None]
+    items = [s for r in spark.read.parquet(d + "/benchmark.parquet").collect() if (s := _grams(r["text"] or "", 5))]
+    bad = {i for i, t in left if i is not None and any(100 * len(s & _grams(t, 5)) >= 80 * len(s) for s in items)}
+    assert 9003 in bad
+    scorer = secret_scan.MarkovScorer(secret_scan.labelled_samples())
+    coder = byte_bpe.coder(public_tokenizers.path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    expected = []
+    for i, t in left:
+        if i not in bad:
+            t = secret_scan.redacted(t, scorer, "[SECRET]")
+            ids = other.encode_ordinary(t)
+            expected.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = [tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sum(i == 9008 for i, *_ in got) == 2
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, "/root/testdata/sf0.001")
+        assert found.collect() == [] and (name == "byte_bpe" or found.columns == docs.columns)
