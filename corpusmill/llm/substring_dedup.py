@@ -7,16 +7,19 @@ Documents of equal words are one class, kept by its smallest doc_id. From each
 window one anchor is taken, its run of ANCHOR words with the least hash, so equal
 windows have equal anchors. Only stretches of windows whose anchor occurs in more
 than one class are looked at further: a grouped minimum over window hashes names
-the first document of each window. The stretches of a first document that recur
-elsewhere are a reference shard. A shard's suffix automaton goes to every task
-that holds candidate stretches for it; these are streamed through it, and where
-the matching statistic reaches WINDOW, the maximal spans of words are removed. A
-shard with many candidate stretches is sent to several tasks (salts), so that a
-passage that very many documents share is dealt out.
+a place, in the first document, for each window that recurs, and so the shard that
+has to know it. A reference shard holds the recurring stretches of many documents,
+about SHARD_WORDS words; long documents are spread over several. Its suffix
+automaton keeps the earliest doc_id in its states and goes to every task that
+holds candidate stretches for it. These are streamed through it, and where the
+matching statistic reaches WINDOW in an earlier document, the maximal spans of
+words are removed. A shard with many candidate stretches is sent to several tasks
+(salts), so that a passage that very many documents share is dealt out.
 
 All shards times all documents would be quadratic work, so a shard is sent only
 where it can match. Hashes only choose candidates; what is removed is decided by
-equal words in the automaton. Windows are judged on the input.
+equal words and the earliest doc_id in the automaton. Windows are judged on the
+input.
 
 Words are runs other than 0x20 and 0x09-0x0D, unchanged. Null and empty texts
 have no words. Null doc_ids are passed over. Documents are expected once; rows
@@ -39,11 +42,14 @@ from ._bytes import grams, mix, signed, slices, word_hashes, words
 from ._store import materialise, table
 
 WINDOW, ANCHOR = 50, 25
+#: Words of a reference shard, about; windows of one document whose places are in one such stretch go to one shard.
+SHARD_WORDS, STRETCH = 20_000, 5_000
 #: Candidate stretches that one task streams through one shard's automaton.
-SALT_ROWS = 500
+SALT_ROWS = 1_000
 #: A list of up to so many ids is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
+_NEVER = (1 << 63) - 1
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -138,20 +144,20 @@ def _windows(window: int) -> Callable:
 
 
 def _spans(window: int) -> Callable:
-    """From a stretch and the first documents of its windows: reference spans (shard is the document) and candidate spans (shard is the first document)."""
+    """From a stretch and the shards of its windows: reference spans (role 0: the document is the first to have them) and candidate spans (role 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, int, int, str]] = []
-            for doc, start, text, places, firsts in zip(*(batch.column(i) for i in range(5))):
+            for doc, start, text, places, shards, later in zip(*(batch.column(i) for i in range(6))):
                 doc, start, tokens = doc.as_py(), start.as_py(), text.as_py().split(" ")
-                at, own = places.values.to_numpy(zero_copy_only=False), firsts.values.to_numpy(zero_copy_only=False)
+                at, own = (x.values.to_numpy(zero_copy_only=False) for x in (places, shards))
                 order = np.argsort(at)
-                at, own = at[order], own[order]
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(own) != 0)]))
+                at, own, role = at[order], own[order], np.array(later.as_py(), dtype=bool)[order]
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(own) != 0) | (role[1:] != role[:-1])]))
                 for s, e in zip(cut, np.append(cut[1:], len(at))):
                     a, b = int(at[s]), int(at[e - 1]) + window
-                    out.append((int(own[s]), 0 if own[s] == doc else 1, doc, start + a, " ".join(tokens[a:b])))
+                    out.append((int(own[s]), int(role[s]), doc, start + a, " ".join(tokens[a:b])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.string())], names=["shard", "role", "doc_id", "start", "text"])
 
@@ -159,25 +165,27 @@ def _spans(window: int) -> Callable:
 
 
 class SuffixAutomaton:
-    """Of word sequences, added one after another with a separator between them."""
+    """Of word sequences, added one after another with a separator between them; each state has the earliest document that holds its words."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.size = [-1], [0]
-        self.last, self.marks = 0, 0
+        self.link, self.size, self.earliest = [-1], [0], [_NEVER]
+        self.last, self.marks, self.whole = 0, 0, True
 
-    def add(self, sequence: list[str]) -> None:
+    def add(self, sequence: list[str], doc: int = 0) -> None:
         for token in sequence:
-            self._extend(token)
+            self._extend(token, doc)
         self.marks += 1
-        self._extend(self.marks)  # a whole number equals no word
+        self._extend(self.marks, doc)  # a whole number equals no word
+        self.whole = False
 
-    def _extend(self, token: object) -> None:
+    def _extend(self, token: object, doc: int) -> None:
         next_, link, size = self.next, self.link, self.size
         cur = len(next_)
         next_.append({})
         size.append(size[self.last] + 1)
         link.append(0)
+        self.earliest.append(doc)
         p = self.last
         while p >= 0 and token not in next_[p]:
             next_[p][token] = cur
@@ -191,15 +199,26 @@ class SuffixAutomaton:
                 next_.append(dict(next_[q]))
                 size.append(size[p] + 1)
                 link.append(link[q])
+                self.earliest.append(_NEVER)
                 while p >= 0 and next_[p].get(token) == q:
                     next_[p][token] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         self.last = cur
 
-    def spans(self, sequence: list[str], least: int) -> list[tuple[int, int]]:
-        """Maximal stretches of ``sequence`` covered by matches of ``least`` tokens or more."""
-        next_, link, size = self.next, self.link, self.size
+    def _settle(self) -> None:
+        """What ends in a state's words ends in those of its suffix link too."""
+        link, earliest = self.link, self.earliest
+        for state in np.argsort(-np.array(self.size), kind="stable").tolist()[:-1]:
+            if earliest[state] < earliest[link[state]]:
+                earliest[link[state]] = earliest[state]
+        self.whole = True
+
+    def spans(self, sequence: list[str], least: int, doc: int = 1) -> list[tuple[int, int]]:
+        """Maximal stretches of ``sequence`` covered by runs of ``least`` tokens that a document before ``doc`` holds."""
+        if not self.whole:
+            self._settle()
+        next_, link, size, earliest = self.next, self.link, self.size, self.earliest
         state = length = 0
         found: list[tuple[int, int]] = []
         for i, token in enumerate(sequence):
@@ -210,11 +229,15 @@ class SuffixAutomaton:
                 state = next_[state][token]
                 length += 1
             if length >= least:
-                a, b = i + 1 - length, i + 1
-                if found and a <= found[-1][1]:
-                    found[-1] = min(found[-1][0], a), b
-                else:
-                    found.append((a, b))
+                run = state  # the state of the last ``least`` tokens
+                while size[link[run]] >= least:
+                    run = link[run]
+                if earliest[run] < doc:
+                    a, b = i + 1 - least, i + 1
+                    if found and a <= found[-1][1]:
+                        found[-1] = found[-1][0], b
+                    else:
+                        found.append((a, b))
         return found
 
 
@@ -229,9 +252,9 @@ def _match(window: int) -> Callable:
                 if key != (shard, salt):
                     key, automaton = (shard, salt), SuffixAutomaton()
                 if role == 0:
-                    automaton.add(text.split(" "))
+                    automaton.add(text.split(" "), doc)
                 else:
-                    out += [(doc, start + a, start + b) for a, b in automaton.spans(text.split(" "), window)]
+                    out += [(doc, start + a, start + b) for a, b in automaton.spans(text.split(" "), window, doc)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["doc_id", "a", "b"])
 
@@ -268,10 +291,13 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     held = docs.join(_small(touched.select("rep"), touched.count()), docs["doc_id"] == F.col("rep"), "left_semi")
     regions = materialise(held.join(touched, held["doc_id"] == touched["rep"]).select("doc_id", "text", "anchors").mapInArrow(_regions(window, anchor), "doc_id bigint, start bigint, text string").dropDuplicates(["doc_id", "start"]), "regions")
     windows = regions.mapInArrow(_windows(window), "window bigint, doc_id bigint, start bigint, place int")
-    firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
+    firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", (F.col("start") + F.col("place")).alias("at"))).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
+    firsts = firsts.select("window", F.col("first.doc_id").alias("first"), F.floor(F.col("first.at") / STRETCH).alias("stretch"))
     firsts = materialise(firsts, "firsts")  # so that the join below has plain exchanges, whose hot windows are split
-    marked = windows.join(firsts, "window").groupBy("doc_id", "start").agg(F.collect_list(F.struct("place", "first")).alias("m"))
-    spans = regions.join(marked, ["doc_id", "start"]).select("doc_id", "start", "text", F.col("m.place").alias("places"), F.col("m.first").alias("firsts")).mapInArrow(_spans(window), "shard bigint, role int, doc_id bigint, start bigint, text string")
+    shards = max(1, -(-firsts.count() // SHARD_WORDS))
+    routed = firsts.select("window", "first", F.pmod(F.xxhash64("first", "stretch"), F.lit(shards)).alias("shard"))
+    marked = windows.join(routed, "window").groupBy("doc_id", "start").agg(F.collect_list(F.struct("place", "shard", (F.col("first") < F.col("doc_id")).alias("later"))).alias("m"))
+    spans = regions.join(marked, ["doc_id", "start"]).select("doc_id", "start", "text", F.col("m.place").alias("places"), F.col("m.shard").alias("shards"), F.col("m.later").alias("later")).mapInArrow(_spans(window), "shard bigint, role int, doc_id bigint, start bigint, text string")
     spans = materialise(spans, "spans")
 
     candidates = spans.filter("role = 1")
