@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with at most ``limit`` bytes of column ``text``, or one row: rows, text bytes, row offsets."""
     column = batch.column(batch.schema.get_field_index("text"))
     if pa.types.is_large_string(column.type):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of an Arrow batch, which JVM and worker each hold several times; a longer row is a batch of its own.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 @cache
@@ -19,10 +19,22 @@ def _trim() -> Callable[[int], int]:
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
+#: Of modules that keep something between tasks, how to drop it.
+KEEPERS: dict[str, Callable] = {}
+
+
+def _drop_others(owner: str) -> None:
+    for name, drop in KEEPERS.items():
+        if name != owner:
+            drop()
+
+
 def _frugal(run: Callable) -> Callable:
-    """``run``, a function for mapInArrow, with its freed memory given back at the end of each task."""
+    """``run``, a function for mapInArrow: drops what other operators have kept in its worker, and gives freed memory back at the end of each task."""
+    owner = run.__module__
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others(owner)
         try:
             yield from run(batches)
         finally:

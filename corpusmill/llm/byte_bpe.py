@@ -30,12 +30,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._memory import mapped
+from ._memory import KEEPERS, mapped
 from ._store import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries kept by a worker, bytes of text handled at a time, and the length from which a word is long.
-KEPT, PART, LONG = 900_000, 1 << 20, 1 << 11
+KEPT, PART, LONG = 500_000, 1 << 20, 1 << 11
 #: Bytes of open words, and words, of one recursive query. DuckDB writes no files: what a query needs fits its memory.
 ROUND_BYTES, ROUND_WORDS = 1 << 19, 30_000
 
@@ -82,7 +82,7 @@ class Coder:
                     rank.append(value)
         merges = pa.table({"pair": np.array(left, np.int64) << 20 | np.array(right, np.int64), "rank": np.array(rank, np.int32)})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [x.decode("latin-1") for x in self.ranks]})  # a character for each byte
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
@@ -198,10 +198,11 @@ class Coder:
 
 
 _coders: dict[tuple[str, str], Coder] = {}
+KEEPERS[__name__] = _coders.clear
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """One coder a worker process: its merge table outlives a task."""
+    """One coder a worker process: it outlives a task, until the worker serves another operator."""
     if (path, pattern) not in _coders:
         _coders[path, pattern] = Coder(path, pattern)
     return _coders[path, pattern]

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._html import Block, Element, blocks
+from ._memory import mapped
 from ._store import table
 
 _BOILER_TAGS = {"nav": 0, "footer": 1, "aside": 2, "form": 3, "header": 4, "menu": 0, "button": 3, "select": 3, "dialog": 2, "fieldset": 3, "option": 3, "legend": 3}
@@ -293,7 +294,7 @@ def _extract() -> Callable:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. One pass, no shuffle."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(_extract(), "page_id bigint, url string, text string, n_chars bigint")
+    return mapped(own, _extract(), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import slices, word_hashes, words
+from ._memory import mapped
 from ._store import table
 
 PASSAGE = 48
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    got = sample.select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id bigint, quality int, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(rows).toArrow()
+    got = mapped(sample.select("doc_id", "text", "quality"), _bags, "doc_id bigint, quality int, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(rows).toArrow()
     if not got.num_rows:
         return None
     parts = [np.frombuffer(b.as_buffer(), dtype=np.float32).reshape(-1, WIDTH) for b in got.column("bag")]
@@ -194,7 +195,8 @@ def _score(model: object) -> Callable:
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score. One pass, no shuffle; the model is of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(shared), "doc_id bigint, score double")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(own, _score(shared), "doc_id bigint, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import grams, mix, signed, slices, word_hashes, words
+from ._memory import mapped
 from ._store import materialise, table
 
 WINDOW, ANCHOR = 50, 25
@@ -281,7 +282,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     """doc_id, n_words, n_removed, kept_sha256."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    all_ = materialise(docs.mapInArrow(_profile(window, anchor), "doc_id bigint, n_words bigint, print binary, class bigint, sha string, anchor bigint"), "anchors")
+    all_ = materialise(mapped(docs, _profile(window, anchor), "doc_id bigint, n_words bigint, print binary, class bigint, sha string, anchor bigint"), "anchors")
     profile = all_.filter("anchor is null").select("doc_id", "n_words", "print", "class", "sha")
     classes = materialise(profile.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("class").alias("class")), "classes")
     anchors = all_.filter("anchor is not null").select("class", "anchor")
@@ -289,15 +290,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     touched = materialise(anchors.join(shared, "anchor").join(classes.select("class", "rep"), "class").groupBy("rep").agg(F.collect_set("anchor").alias("anchors")), "touched")
 
     held = docs.join(_small(touched.select("rep"), touched.count()), docs["doc_id"] == F.col("rep"), "left_semi")
-    regions = materialise(held.join(touched, held["doc_id"] == touched["rep"]).select("doc_id", "text", "anchors").mapInArrow(_regions(window, anchor), "doc_id bigint, start bigint, text string").dropDuplicates(["doc_id", "start"]), "regions")
-    windows = regions.mapInArrow(_windows(window), "window bigint, doc_id bigint, start bigint, place int")
+    regions = materialise(mapped(held.join(touched, held["doc_id"] == touched["rep"]).select("doc_id", "text", "anchors"), _regions(window, anchor), "doc_id bigint, start bigint, text string").dropDuplicates(["doc_id", "start"]), "regions")
+    windows = mapped(regions, _windows(window), "window bigint, doc_id bigint, start bigint, place int")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", (F.col("start") + F.col("place")).alias("at"))).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
     firsts = firsts.select("window", F.col("first.doc_id").alias("first"), F.floor(F.col("first.at") / STRETCH).alias("stretch"))
     firsts = materialise(firsts, "firsts")  # so that the join below has plain exchanges, whose hot windows are split
     shards = max(1, -(-firsts.count() // SHARD_WORDS))
     routed = firsts.select("window", "first", F.pmod(F.xxhash64("first", "stretch"), F.lit(shards)).alias("shard"))
     marked = windows.join(routed, "window").groupBy("doc_id", "start").agg(F.collect_list(F.struct("place", "shard", (F.col("first") < F.col("doc_id")).alias("later"))).alias("m"))
-    spans = regions.join(marked, ["doc_id", "start"]).select("doc_id", "start", "text", F.col("m.place").alias("places"), F.col("m.shard").alias("shards"), F.col("m.later").alias("later")).mapInArrow(_spans(window), "shard bigint, role int, doc_id bigint, start bigint, text string")
+    spans = mapped(regions.join(marked, ["doc_id", "start"]).select("doc_id", "start", "text", F.col("m.place").alias("places"), F.col("m.shard").alias("shards"), F.col("m.later").alias("later")), _spans(window), "shard bigint, role int, doc_id bigint, start bigint, text string")
     spans = materialise(spans, "spans")
 
     candidates = spans.filter("role = 1")
@@ -307,10 +308,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     columns = ["shard", "salt", "role", "doc_id", "start", "text"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = given.select(columns).union(asked.select(columns)).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "role")
-    cuts = materialise(dealt.mapInArrow(_match(window), "doc_id bigint, a bigint, b bigint").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "cuts")
+    cuts = materialise(mapped(dealt, _match(window), "doc_id bigint, a bigint, b bigint").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "cuts")
 
     hit = docs.join(_small(cuts.select("doc_id"), cuts.count()), "doc_id", "left_semi")
-    changed = hit.join(cuts, "doc_id").mapInArrow(_cut, "doc_id bigint, n_removed bigint, sha string").groupBy("doc_id").agg(F.max_by(F.struct("n_removed", "sha"), "n_removed").alias("c")).select("doc_id", "c.n_removed", F.col("c.sha").alias("cut_sha"))
+    changed = mapped(hit.join(cuts, "doc_id"), _cut, "doc_id bigint, n_removed bigint, sha string").groupBy("doc_id").agg(F.max_by(F.struct("n_removed", "sha"), "n_removed").alias("c")).select("doc_id", "c.n_removed", F.col("c.sha").alias("cut_sha"))
     nothing = hashlib.sha256(b"").hexdigest()
     copy = (F.col("doc_id") != F.col("rep")) & (F.col("n_words") >= window)
     rows = profile.join(classes.select("print", "rep"), "print").join(changed, "doc_id", "left")
