@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality_mil, secret_scan, substring_dedup, warc
+from corpusmill.llm import _components, byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality_mil, secret_scan, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +91,22 @@ def test_ngram_join_many_blocks(docs, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_copies(docs).collect())) == whole
 
 
+def test_components(spark, monkeypatch):
+    """One task and rounds over the cluster give the same components."""
+    rng = random.Random(13)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5000, 5000 + i) for i in range(1, 200)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(400):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    for few in (_components.FEW, -1):
+        monkeypatch.setattr(_components, "FEW", few)
+        assert {tuple(r) for r in _components.components(df).collect()} == set(root.items())
+        assert _components.components(df.limit(0)).collect() == []
+
+
 def test_substring_dedup(docs):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicate(docs).collect()}
     first, expected = {}, {}
