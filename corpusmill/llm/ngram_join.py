@@ -55,10 +55,10 @@ FREQUENT, FREQUENT_TIMES = 64, 16
 BROADCAST_IDS = 1_000_000
 #: Parts of the feature domain whose counts bound the distance of two sets from below; so many are added up for a first look.
 CELLS, FOLD = 128, 8
-#: Parts whose counts are looked at before whole sets are joined to a pair: large sets differ too little in fewer.
-FINE = 2048
+#: Parts whose counts are looked at before whole sets of FINE_LEAST shingles or more are joined to a pair: large sets differ too little in fewer.
+FINE, FINE_LEAST = 2048, 512
 #: Members of a bucket are compared in blocks of about so many; candidates are looked at so many at a time.
-BLOCK, LOOK = 1024, 1 << 18
+BLOCK, LOOK = 1024, 1 << 15
 #: So many of its least buckets a member carries; a pair is left to the least bucket that both carry.
 LEAST, NONE = 16, (1 << 63) - 1
 _U = np.uint64
@@ -208,7 +208,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, n):
-            cells, fine = ([np.minimum(np.bincount((mix(s ^ _U(0xBEEF)) % _U(k)).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes() for s in sets] for k in (CELLS, FINE))
+            cells, fine = ([np.minimum(np.bincount((mix(s ^ _U(0xBEEF)) % _U(k)).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes() if len(s) >= least else b"" for s in sets] for k, least in ((CELLS, 0), (FINE, FINE_LEAST)))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "shingles", "cells", "fine"])
 
     return run
@@ -272,13 +272,17 @@ def _blocks(percent: int) -> Callable:
 
 
 def _open(percent: int, parts: int = CELLS) -> Callable:
-    """The pairs that their counts by part do not show too far apart."""
+    """The pairs that their counts by part do not show too far apart, and those of which a set has no such counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, parts).astype(np.int16) for i in (4, 5))
-            mask = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n * (100 - percent))
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            counted = np.array([bool(a and b) for a, b in zip(left, right)], dtype=bool)
+            x, y = (np.frombuffer(b"".join([c for c, k in zip(side, counted) if k]), dtype=np.uint8).reshape(-1, parts).astype(np.int16) for side in (left, right))
+            near = ~counted
+            near[counted] = np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n[counted] * (100 - percent)
+            mask = pa.array(near)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
@@ -307,6 +311,12 @@ def _apart(pairs: DataFrame, sets: DataFrame, cells: str, run: Callable) -> Data
     return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b"), run, "a bigint, b bigint")
 
 
+def _of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that occur in ``pairs``, a written table: only these are shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return sets.join(small(ids, ids.count()), "doc_id", "left_semi")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document doc_id, n_shingles and component_id, the smallest doc_id reachable by links (itself included)."""
     spark = docs.sparkSession
@@ -353,8 +363,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             if step < 2:
                 continue
             break
-        near = materialise(_apart(pairs, sets, "fine", _open(percent, FINE)), "near")
-        whole = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+        near = materialise(_apart(pairs, _of(pairs, sets), "fine", _open(percent, FINE)), "near")
+        own = _of(near, sets)
+        whole = near.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
         found = materialise(mapped(whole.select("a", "b", "left", "right"), _verify(percent), "u bigint, v bigint"), "links")
         done, links = done.union(pairs), links.union(found)
         group = components(links, "groups")
