@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def normalize_title(title: Column) -> Column:
 def title_aliases(title: Column, prefix: str = "中华人民共和国") -> Column:
     """The normalised title, and its short form without the state's name."""
     full = normalize_title(title)
-    return F.filter(F.array_distinct(F.array(full, F.regexp_replace(full, "^" + prefix, ""))), lambda x: x != "")
+    return F.filter(F.array_distinct(F.array(full, F.trim(F.regexp_replace(full, "^" + prefix, "")))), lambda x: x != "")
 
 
 def cross_references(text: Column) -> Column:
@@ -35,11 +37,11 @@ def cross_references(text: Column) -> Column:
 
 
 def article_heading(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"^第([一二三四五六七八九十百千万零〇两\d]+)条", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(clean_text(text), r"^第([一二三四五六七八九十百千万零〇两\d]+)条", 0), F.lit(""))
 
 
 def section_heading(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"^第([一二三四五六七八九十百千万零〇两\d]+)(编|章|节)", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(clean_text(text), r"^第([一二三四五六七八九十百千万零〇两\d]+)(编|章|节)", 0), F.lit(""))
 
 
 def tokens(text: Column) -> Column:
@@ -66,13 +68,60 @@ def safe_slug(text: Column, default: str = "document") -> Column:
 
 
 def char_windows(text: Column, size: int = 900, overlap: int = 120) -> Column:
-    """Overlapping windows of characters; one window if the text fits."""
+    """Overlapping windows of the characters of the cleaned text, trimmed; one window if the text fits, none without text.
+
+    The text is cut once into pieces as long as the greatest common divisor of window and step, so time is linear in its length.
+    """
     if overlap >= size:
         raise ValueError("overlap must be smaller than the window")
     step = size - overlap
-    n = F.when(F.length(text) <= size, 1).otherwise(F.ceil((F.length(text) - size) / step).cast("int") + 1)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.trim(F.substring(text, k * step + 1, F.lit(size))))
+    width = gcd(size, step)
+    pieces = F.regexp_extract_all(clean_text(text), F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))
+    whole, each = size // width, step // width
+    n = F.when(F.size(pieces) <= whole, 1).otherwise(F.ceil((F.size(pieces) - whole) / each).cast("int") + 1)
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.trim(F.array_join(F.slice(pieces, k * each + 1, whole), "")))
+    return F.filter(windows, lambda w: w != "")
 
 
 def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+
+
+def join_non_empty(parts: Column) -> Column:
+    """The trimmed parts that are not empty, a line each."""
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+def dedupe_strings(values: Column) -> Column:
+    """Trimmed, without empty ones, each once in order of first sight."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def contains_any(text: Column, hints: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the hints, as plain strings."""
+    return F.coalesce(text.rlike("|".join("\\Q" + h + "\\E" for h in hints)), F.lit(False))
+
+
+def bag_overlap(a: Column, b: Column) -> Column:
+    """The size of the intersection of two bags of tokens."""
+    count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
+    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+
+
+def token_f1(a: Column, b: Column) -> Column:
+    """F1 of two bags of tokens; 0 where one is empty or nothing is shared."""
+    shared = bag_overlap(a, b).cast("double")
+    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (shared == 0), 0.0).otherwise(2 * (shared / F.size(a)) * (shared / F.size(b)) / (shared / F.size(a) + shared / F.size(b)))
+
+
+#: Fixed value: what is left out when answers are compared.
+ANSWER_MARKS = r"[\s，。、“”‘’：:；;,！!？?（）()【】\[\]《》<>]+"
+
+
+def normalize_answer(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ANSWER_MARKS, ""))
+
+
+def exact_match(a: Column, b: Column) -> Column:
+    a, b = normalize_answer(a), normalize_answer(b)
+    return F.when((a != "") & (a == b), 1.0).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ._inline import Inline
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,18 +23,27 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum(F.length("w")).alias("chars"), F.max(F.length("w")).cast("bigint").alias("longest"))
 
 
+#: Lines of two statutes as paragraphs in order.
+LINES = Inline(
+    "doc int, ord int, line string",
+    [(1, i, x) for i, x in enumerate(("中华人民共和国测试法", "第一章 总则", "第一条 为了测试，制定本法。", "本条的第二段。", "第二条  本法适用于测试。", "第二章 责任", "第三条 违反第一条的，承担责任。", "附则"))]
+    + [(2, i, x) for i, x in enumerate(("第一编 分则", "第十二条 租赁合同。", "", "第十三条 押金。"))],
+)
+
+
 def article_units(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    head = F.length("line") < 60
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    units = lines.withColumn("unit", F.sum(F.when(head, 1).otherwise(0)).over(order))
-    return units.groupBy("doc_id", "unit").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    """Lines fall into units that start at an article's heading, within the section whose heading came last."""
+    order = Window.partitionBy("doc").orderBy("ord")
+    own = LINES.df(spark).select("doc", "ord", T.clean_text(F.col("line")).alias("line")).filter("line <> ''").withColumn("article", T.article_heading(F.col("line"))).withColumn("section", T.section_heading(F.col("line")))
+    own = own.withColumn("unit", F.count("article").over(order)).withColumn("within", F.last("section", ignorenulls=True).over(order)).filter("section IS NULL AND unit > 0")
+    return own.groupBy("doc", "unit").agg(F.max("article").alias("heading"), F.min_by("within", "ord").alias("section"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
 def document_rollup(spark: SparkSession, d: str) -> DataFrame:
-    w = _t(spark, d, "documents").select("doc_id", F.posexplode(T.char_windows(F.col("text"))).alias("pos", "w"))
-    rolled = w.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.when(F.col("pos") < 4, F.struct("pos", F.length("w").alias("n"))))).alias("s"))
-    return rolled.select("doc_id", "chunks", F.array_join(F.transform("s", lambda x: x["n"].cast("string")), ",").alias("first_four"))
+    """Number of windows, lengths of the first four, and the digest of these as a document's sample text."""
+    own = _t(spark, d, "documents").select("doc_id", T.char_windows(F.col("text")).alias("w"))
+    first = F.slice("w", 1, 4)
+    return own.filter(F.size("w") > 0).select("doc_id", F.size("w").cast("bigint").alias("chunks"), F.array_join(F.transform(first, lambda x: F.length(x).cast("string")), ",").alias("first_four"), F.md5(F.array_join(first, "\n").cast("binary")).alias("sample"))
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -60,18 +70,23 @@ def df_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    key = Window.partitionBy("lang", F.substring("text", 1, 20)).orderBy(F.desc("n_chars"), "doc_id")
-    return _t(spark, d, "documents").withColumn("rn", F.row_number().over(key)).filter("rn = 1").select("doc_id", "lang")
+    """Of each language and whole text (by its digest) the first document; a text that very many documents share is folded before the shuffle."""
+    own = _t(spark, d, "documents").groupBy("lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return own.select("doc_id", "lang", "copies")
+
+
+QUOTA = 50
 
 
 def topic_quota(spark: SparkSession, d: str) -> DataFrame:
+    """Round robin over languages; a language has at most QUOTA rows, which Spark cuts before it shuffles them."""
     rn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    return _t(spark, d, "documents").select("doc_id", "lang", rn.alias("rn")).orderBy("rn", "lang").limit(50)
+    return _t(spark, d, "documents").select("doc_id", "lang", rn.alias("rn")).filter(F.col("rn") <= QUOTA).orderBy("rn", "lang").limit(QUOTA)
 
 
 def seed_counts(spark: SparkSession, d: str) -> DataFrame:
-    _t(spark, d, "documents").createOrReplaceTempView("corpusmill_documents")
-    return spark.sql("SELECT lang, source, count(*) AS n FROM corpusmill_documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))")
+    own = _t(spark, d, "documents")
+    return own.groupingSets([[F.col("lang")], [F.col("source")], [F.col("lang"), F.col("source")]], "lang", "source").agg(F.count("*").alias("n"))
 
 
 def eval_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +129,9 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", T.safe_slug(F.col("p_name")).alias("slug"), T.truncate_text(F.col("p_name"), 12).alias("short"))
 
 
-_W = "SELECT doc_id, lang, text, unnest(range(0, CASE WHEN length(text) <= 900 THEN 1 ELSE ceil((length(text) - 900) / 780e0)::INT + 1 END)) AS chunk FROM documents"
-_WC = f"w AS (SELECT doc_id, lang, chunk, trim(substring(text, chunk * 780 + 1, 900)) AS w FROM ({_W}))"
+_CLEAN = r"trim(regexp_replace(replace(text, '+', ' '), '[\s\x{0b}\p{Z}]+', ' ', 'g'))"
+_W = f"SELECT doc_id, lang, t, unnest(range(0, CASE WHEN length(t) <= 900 THEN 1 ELSE ceil((length(t) - 900) / 780e0)::INT + 1 END)) AS chunk FROM (SELECT doc_id, lang, {_CLEAN} AS t FROM documents)"
+_WC = f"w AS (SELECT doc_id, lang, chunk, trim(substring(t, chunk * 780 + 1, 900)) AS w FROM ({_W}) WHERE t <> '')"
 _EV = "e AS (SELECT doc_id, lang, quality::DOUBLE AS quality, CASE WHEN lang = 'en' THEN toxic::DOUBLE END AS citation, least(n_chars, 1000) / 1000e0 AS completion FROM labels JOIN documents USING (doc_id))"
 QUERIES = {
     "chunk_windows": chunk_windows, "chunk_stats": chunk_stats, "article_units": article_units, "document_rollup": document_rollup,
@@ -127,14 +143,14 @@ QUERIES = {
 SQL = {
     "chunk_windows": f"WITH {_WC} SELECT doc_id, chunk::INT AS chunk, md5(w) AS digest, length(w)::INT AS n_chars FROM w",
     "chunk_stats": f"WITH {_WC} SELECT lang, count(*)::BIGINT AS chunks, sum(length(w))::BIGINT AS chars, max(length(w))::BIGINT AS longest FROM w GROUP BY lang",
-    "article_units": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents), u AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS unit FROM l) SELECT doc_id, unit, count(*)::BIGINT AS lines, sum(length(line))::BIGINT AS chars FROM u GROUP BY doc_id, unit",
-    "document_rollup": f"WITH {_WC} SELECT doc_id, count(*)::BIGINT AS chunks, string_agg(length(w)::VARCHAR, ',' ORDER BY chunk) FILTER (chunk < 4) AS first_four FROM w GROUP BY doc_id",
+    "article_units": f"""WITH l AS (SELECT doc, ord, trim(regexp_replace(line, '[\\s\\p{{Z}}]+', ' ', 'g')) AS line FROM {LINES.sql}), h AS (SELECT *, nullif(regexp_extract(line, '^第[一二三四五六七八九十百千万零〇两0-9]+条'), '') AS article, nullif(regexp_extract(line, '^第[一二三四五六七八九十百千万零〇两0-9]+(编|章|节)'), '') AS section FROM l WHERE line <> ''), u AS (SELECT *, count(article) OVER w AS unit, last_value(section IGNORE NULLS) OVER w AS within FROM h WINDOW w AS (PARTITION BY doc ORDER BY ord)) SELECT doc, unit, max(article) AS heading, arg_min(within, ord) AS section, count(*)::BIGINT AS lines, sum(length(line))::BIGINT AS chars FROM u WHERE section IS NULL AND unit > 0 GROUP BY doc, unit""",
+    "document_rollup": f"WITH {_WC} SELECT doc_id, count(*)::BIGINT AS chunks, string_agg(length(w)::VARCHAR, ',' ORDER BY chunk) FILTER (chunk < 4) AS first_four, md5(string_agg(w, chr(10) ORDER BY chunk) FILTER (chunk < 4)) AS sample FROM w GROUP BY doc_id",
     "manifest_full_outer": "SELECT coalesce(d.doc_id, l.doc_id) AS id, lang, quality, CASE WHEN d.doc_id IS NULL THEN 'missing_catalog' WHEN l.doc_id IS NULL THEN 'missing_docx' ELSE 'matched' END AS status FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
     "manifest_summary": "SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_catalog' WHEN l.doc_id IS NULL THEN 'missing_docx' ELSE 'matched' END AS status, count(*)::BIGINT AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
     "clean_text": r"WITH c AS (SELECT doc_id, trim(regexp_replace(replace(text, '+', ' '), '[\s\x{0b}\p{Z}]+', ' ', 'g')) AS c FROM documents) SELECT doc_id, length(c)::INT AS n, md5(c) AS digest FROM c",
     "top_keywords": "SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS term FROM documents) WHERE length(term) > 2 GROUP BY term ORDER BY n DESC, term LIMIT 30",
     "token_df_idf": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln((SELECT count(*) FROM documents) - count(*) + 0.5e0) - ln(count(*) + 0.5e0), 6) AS idf FROM t GROUP BY term HAVING count(*) >= 5",
-    "candidate_dedupe": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang, substring(text, 1, 20) ORDER BY n_chars DESC, doc_id) = 1",
+    "candidate_dedupe": "SELECT min(doc_id) AS doc_id, lang, count(*)::BIGINT AS copies FROM documents GROUP BY lang, text",
     "topic_quota_select": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rn FROM documents ORDER BY rn, lang LIMIT 50",
     "seed_counts_grouping_sets": "SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))",
     "eval_metric_means": f"WITH {_EV} SELECT lang, " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}, count({c})::BIGINT AS n_{c}" for c in WEIGHTS) + " FROM e GROUP BY lang",

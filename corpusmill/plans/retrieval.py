@@ -90,12 +90,17 @@ def expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related_statutes(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").filter("l_partkey <= 20").select(F.col("l_partkey").alias("case_id"), F.col("l_suppkey").alias("statute_id")).distinct()
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("case_id"), F.col("l_suppkey").alias("statute_id")).distinct()
+
+
+#: The cases asked for are those whose id is divisible by this, against all others.
+ASKED = 50
 
 
 def related_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases that share a statute with one that is asked for; supplier groups of any size are split by adaptive skew joins."""
     pairs = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    a = pairs.filter("l_partkey <= 5").withColumnRenamed("l_partkey", "case_id")
+    a = pairs.filter(F.col("l_partkey") % ASKED == 0).withColumnRenamed("l_partkey", "case_id")
     return a.join(pairs.withColumnRenamed("l_partkey", "related_id"), "l_suppkey").filter("case_id <> related_id").select("case_id", "related_id").distinct()
 
 
@@ -106,6 +111,7 @@ def shortlist(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", "text").join(F.broadcast(docs), "doc_id").select("doc_id", "score", F.posexplode(char_windows(F.col("text"))).alias("chunk", "w")).select("doc_id", "score", "chunk", F.length("w").alias("n_chars"))
 
 
+_CLEAN = r"trim(regexp_replace(replace(text, '+', ' '), '[\s\x{0b}\p{Z}]+', ' ', 'g'))"
 _WIN = "CASE WHEN length(text) <= 900 THEN 1 ELSE ceil((length(text) - 900) / 780e0)::INT + 1 END"
 QUERIES = {
     "bm25_topk": bm25_topk,
@@ -135,10 +141,10 @@ SQL = {
     "rrf_fusion": f"WITH {_LEX}, {_DEN}, a AS (SELECT doc_id, {_RANK.format('doc_id')} FROM lex QUALIFY rank <= 48), b AS (SELECT vec_id AS doc_id, {_RANK.format('vec_id')} FROM den QUALIFY rank <= 48) SELECT doc_id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20",
     "hybrid_merge_boost": f"WITH {_LEX}, {_DEN}, a AS (SELECT doc_id, score AS x FROM lex ORDER BY score DESC, doc_id LIMIT 40), b AS (SELECT vec_id AS doc_id, score AS y FROM den ORDER BY score DESC, vec_id LIMIT 40) SELECT doc_id, round(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(x, y) * 1.2e0 ELSE coalesce(x, y) END, 6) AS score FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20",
     "boosted_rank": f"WITH {_LEX} SELECT doc_id, round((score + CASE lang WHEN 'en' THEN 0.22e0 WHEN 'de' THEN 0.14e0 ELSE 0e0 END) * CASE WHEN lex.source = 'src0' THEN 0.45e0 ELSE 1e0 END, 6) AS score FROM lex JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20",
-    "doc_shortlist_chunks": f"WITH {_LEX}, s AS (SELECT doc_id, score FROM lex ORDER BY score DESC, doc_id LIMIT 24), c AS (SELECT doc_id, score, text, unnest(range(0, {_WIN}))::INT AS chunk FROM documents JOIN s USING (doc_id)) SELECT doc_id, score, chunk, length(trim(substring(text, chunk * 780 + 1, 900)))::INT AS n_chars FROM c",
+    "doc_shortlist_chunks": f"WITH {_LEX}, s AS (SELECT doc_id, score FROM lex ORDER BY score DESC, doc_id LIMIT 24), c AS (SELECT doc_id, score, text, unnest(range(0, {_WIN}))::INT AS chunk FROM (SELECT doc_id, {_CLEAN} AS text FROM documents) JOIN s USING (doc_id) WHERE text <> '') SELECT doc_id, score, chunk, length(trim(substring(text, chunk * 780 + 1, 900)))::INT AS n_chars FROM c",
     "citation_edges": f"WITH {_EDGE} SELECT * FROM edge",
     "citation_indegree": f"WITH {_EDGE} SELECT target, count(*)::BIGINT AS n FROM edge GROUP BY target ORDER BY n DESC, target LIMIT 50",
     "graph_expansion": f"WITH {_EDGE} SELECT target, round(sum(length(url) / 100e0 * 0.08e0), 6) AS bonus FROM edge JOIN pages USING (page_id) GROUP BY target",
-    "related_statutes": "SELECT DISTINCT l_partkey AS case_id, l_suppkey AS statute_id FROM lineitem WHERE l_partkey <= 20",
-    "related_cases": "WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT DISTINCT a.l_partkey AS case_id, b.l_partkey AS related_id FROM p a JOIN p b USING (l_suppkey) WHERE a.l_partkey <= 5 AND a.l_partkey <> b.l_partkey",
+    "related_statutes": "SELECT DISTINCT l_partkey AS case_id, l_suppkey AS statute_id FROM lineitem",
+    "related_cases": "WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT DISTINCT a.l_partkey AS case_id, b.l_partkey AS related_id FROM p a JOIN p b USING (l_suppkey) WHERE a.l_partkey % 50 = 0 AND a.l_partkey <> b.l_partkey",
 }

@@ -28,10 +28,11 @@ def hot_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_upsert(spark: SparkSession, d: str) -> DataFrame:
-    events = _t(spark, d, "events").select("event_id", "user_id", "event_type")
-    old = events.filter("event_id < 500")
-    new = events.filter("event_id >= 250 AND event_id < 1000").dropDuplicates(["event_id"])
-    return old.unionByName(new.join(old, "event_id", "left_anti"))
+    """The bank takes a batch: events of value below 60, and those from 40 on, which overlap; ids the bank has are left out."""
+    events = _t(spark, d, "events").select("event_id", "user_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
+    bank, batch = events.filter("value < 60"), events.filter("value >= 40")
+    new = batch.join(bank.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"])
+    return bank.withColumn("origin", F.lit("bank")).unionByName(new.withColumn("origin", F.lit("batch")))
 
 
 def wrong_bank(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +128,7 @@ SQL = {
     "last_turns": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC)::INT AS rn FROM conversations QUALIFY rn <= 3",
     "compression_chunks": "SELECT conv_id, (turn // 4)::BIGINT AS chunk, count(*)::BIGINT AS turns, sum(greatest(1, length(text) // 2))::BIGINT AS tokens FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn < n - 2 GROUP BY ALL",
     "hot_update_latest": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "batch_upsert_dedupe": "SELECT event_id, user_id, event_type FROM events WHERE event_id < 1000",
+    "batch_upsert_dedupe": "WITH e AS (SELECT event_id, user_id, event_type, coalesce(value, 0e0) AS value FROM events), b AS (SELECT * FROM e WHERE value < 60) SELECT *, 'bank' AS origin FROM b UNION ALL SELECT *, 'batch' FROM e WHERE value >= 40 AND event_id NOT IN (SELECT event_id FROM b)",
     "wrong_question_bank": "SELECT user_id, event_type, count(*)::BIGINT AS fail_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events WHERE value < 20 GROUP BY user_id, event_type",
     "profile_fold": "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(*)::BIGINT AS n FROM events GROUP BY user_id",
     "exam_score_rollup": "SELECT o_orderkey, round(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0e0 END) / sum(l_quantity) * 100, 2) AS percent, count(*) FILTER (l_returnflag = 'R')::BIGINT AS incorrect FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey",

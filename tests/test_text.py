@@ -23,6 +23,8 @@ def test_tokens(spark):
 def test_windows(spark):
     assert one(spark, T.char_windows(F.lit("abcdefghij"), 4, 1)) == ["abcd", "defg", "ghij"]
     assert one(spark, T.char_windows(F.lit("abc"), 4, 1)) == ["abc"]
+    assert one(spark, T.char_windows(F.lit(" "), 4, 1)) == []
+    assert one(spark, T.char_windows(F.lit("a+b  c é𝒳d"), 4, 2)) == ["a b", "b c", "c é𝒳", "é𝒳d"]
 
 
 def test_headings(spark):
