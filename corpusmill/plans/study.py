@@ -96,7 +96,7 @@ def memory_score(spark: SparkSession, d: str) -> DataFrame:
 def hashing_vector(spark: SparkSession, d: str) -> DataFrame:
     tok = _t(spark, d, "conversations").select("conv_id", "turn", F.explode(T.word_tokens(F.col("text"))).alias("t"))
     digest = F.md5(F.col("t").cast("binary"))
-    bucket, sign = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int"), F.when(F.conv(F.substring(digest, 3, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    bucket, sign = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int"), F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
     return tok.groupBy("conv_id", "turn", bucket.alias("bucket")).agg(F.sum(sign).alias("value"))
 
 
@@ -138,7 +138,7 @@ SQL = {
     "location_clarification": "SELECT n_regionkey, count(DISTINCT n_nationkey)::BIGINT AS paths, count(*) FILTER (c_acctbal > 0)::BIGINT AS local_hits, count(DISTINCT n_nationkey) >= 2 AS ask FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey",
     "intent_classify": f"SELECT conv_id, turn, {_INT} AS intent FROM conversations WHERE role = 'user'",
     "memory_score": f"SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, conv_id, turn)::INT AS rn FROM ({_MS}) QUALIFY rn <= 4",
-    "hashing_vector": "SELECT conv_id, turn, ('0x' || substring(md5(t), 1, 2))::INT AS bucket, sum(CASE WHEN ('0x' || substring(md5(t), 3, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS value FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS t FROM conversations) GROUP BY ALL",
+    "hashing_vector": "SELECT conv_id, turn, ('0x' || substring(md5(t), 1, 2))::INT AS bucket, sum(CASE WHEN ('0x' || substring(md5(t), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS value FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS t FROM conversations) GROUP BY ALL",
     "ext_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "ext_session": "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k",
     "planner_domain_switch": f"WITH i AS (SELECT conv_id, turn, {_INT} AS intent FROM conversations WHERE role = 'user'), l AS (SELECT *, lag(intent) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM i) SELECT conv_id, turn, before, intent FROM l WHERE before IS NOT NULL AND before <> intent",
