@@ -31,7 +31,7 @@ each different set, and the component holds them all. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import ceil
 
@@ -47,16 +47,16 @@ from ._store import materialise, table
 
 SHINGLE = 4
 PERCENT = 85
-#: Counters of the sketch of frequent shingles. A counter of FREQUENT, and of FREQUENT_TIMES the mean over all
-#: documents, is frequent: at most one counter in FREQUENT_TIMES, however large the corpus.
+#: Counters of the sketch of frequent shingles. A counter of FREQUENT and of FREQUENT_TIMES the mean over all
+#: documents is frequent: at most one counter in FREQUENT_TIMES, however large the corpus.
 SKETCH = 1 << 24
-FREQUENT, FREQUENT_TIMES = 64, 16
+FREQUENT, FREQUENT_TIMES = 64, 8
 #: A side of a join with up to so many ids (8 bytes each) is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Parts of the feature domain whose counts bound the distance of two sets from below; so many are added up for a first look.
 CELLS, FOLD = 128, 8
-#: Parts whose counts are looked at before whole sets of FINE_LEAST shingles or more are joined to a pair: large sets differ too little in fewer.
-FINE, FINE_LEAST = 2048, 512
+#: Parts whose counts are looked at in sets of FINE_LEAST shingles or more: large sets differ too little in fewer.
+FINE, FINE_LEAST = 2048, 1024
 #: Members of a bucket are compared in blocks of about so many; candidates are looked at so many at a time.
 BLOCK, LOOK = 1024, 1 << 15
 #: So many of its least buckets a member carries; a pair is left to the least bucket that both carry.
@@ -214,10 +214,17 @@ def _whole(n: int) -> Callable:
     return run
 
 
-def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n: np.ndarray, c: np.ndarray, bucket: np.ndarray, cells: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _near(left: Iterable[bytes], right: Iterable[bytes], n: np.ndarray, percent: int, parts: int) -> np.ndarray:
+    """Whether two sets' counts by part leave it open that they are close; ``n`` is the sum of their sizes."""
+    x, y = (np.frombuffer(b"".join(side), dtype=np.uint8).reshape(-1, parts).astype(np.int16) for side in (left, right))
+    return np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n * (100 - percent)
+
+
+def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n: np.ndarray, c: np.ndarray, bucket: np.ndarray, cells: np.ndarray, least: np.ndarray, fine: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of one group, of both sides where it has two, of different components and not shown too far apart."""
     order = np.lexsort((n, group))
-    group, side, rep, n, c, bucket, cells, least = (x[order] for x in (group, side, rep, n, c, bucket, cells, least))
+    group, side, rep, n, c, bucket, cells, least, fine = (x[order] for x in (group, side, rep, n, c, bucket, cells, least, fine))
+    large = np.array([len(x) > 0 for x in fine], dtype=bool)
     cells = cells.astype(np.int16)
     rough = cells.reshape(len(cells), -1, FOLD).sum(axis=2, dtype=np.int16)
     two = np.zeros(group[-1] + 1, dtype=bool)
@@ -238,6 +245,12 @@ def _close(percent: int, group: np.ndarray, side: np.ndarray, rep: np.ndarray, n
             apart = np.abs(counted[x] - counted[y]).sum(axis=1, dtype=np.int64)
             keep = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             x, y = x[keep], y[keep]
+        keep = np.ones(len(x), dtype=bool)
+        both = np.flatnonzero(large[x] & large[y])
+        for k in range(0, len(both), 1024):
+            own = both[k : k + 1024]
+            keep[own] = _near(fine[x[own]], fine[y[own]], n[x[own]] + n[y[own]], percent, FINE)
+        x, y = x[keep], y[keep]
         if len(x):
             # both are members of every bucket that both carry, and the least of those gives the pair
             before = (least[x][:, :, None] == least[y][:, None, :]) & (least[x] < bucket[x][:, None])[:, :, None]
@@ -257,7 +270,7 @@ def _blocks(percent: int) -> Callable:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
-            now += [now[0], np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, CELLS), np.array(batch.column(8).flatten()).reshape(-1, LEAST)]
+            now += [now[0], np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, CELLS), np.array(batch.column(8).flatten()).reshape(-1, LEAST), np.array([*batch.column(9).to_pylist(), None], dtype=object)[:-1]]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             new = np.append(False, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]))
@@ -279,9 +292,8 @@ def _open(percent: int, parts: int = CELLS) -> Callable:
             n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
             left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             counted = np.array([bool(a and b) for a, b in zip(left, right)], dtype=bool)
-            x, y = (np.frombuffer(b"".join([c for c, k in zip(side, counted) if k]), dtype=np.uint8).reshape(-1, parts).astype(np.int16) for side in (left, right))
             near = ~counted
-            near[counted] = np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n[counted] * (100 - percent)
+            near[counted] = _near(*([c for c, k in zip(side, counted) if k] for side in (left, right)), n[counted], percent, parts)
             mask = pa.array(near)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -313,7 +325,7 @@ def _apart(pairs: DataFrame, sets: DataFrame, cells: str, run: Callable) -> Data
 
 def _of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The sets that occur in ``pairs``, a written table: only these are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     return sets.join(small(ids, ids.count()), "doc_id", "left_semi")
 
 
@@ -323,7 +335,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     profile = materialise(mapped(docs, _profile(shingle), "doc_id bigint, n_shingles bigint, print binary, class bigint, cell int"), "profile")
     mean = (profile.agg(F.sum("n_shingles")).first()[0] or 0) / SKETCH
-    high = profile.filter("cell is not null").groupBy("cell").agg(F.sum("doc_id").alias("n")).filter(F.col("n") >= FREQUENT + FREQUENT_TIMES * mean).select("cell")
+    high = profile.filter("cell is not null").groupBy("cell").agg(F.sum("doc_id").alias("n")).filter(F.col("n") >= max(FREQUENT, FREQUENT_TIMES * mean)).select("cell")
     bits = np.zeros(SKETCH, dtype=bool)
     bits[[r[0] for r in high.toLocalIterator()]] = True  # SKETCH / FREQUENT_TIMES cells at most
     frequent = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
@@ -352,18 +364,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             pairs = now.join(open_, "bucket").filter("c <> lead.c").filter(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
             pairs = _apart(pairs, sets, "cells", _open(percent))
         else:
-            rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells"), "rep")
+            rest = now.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket").join(sets.select(F.col("doc_id").alias("rep"), "cells", "fine"), "rep")
             least = rest.groupBy("rep").agg(F.slice(F.concat(F.array_sort(F.collect_set("bucket")), F.array_repeat(F.lit(NONE), LEAST)), 1, LEAST).alias("least"))
             rest = rest.join(least, "rep")
             rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-            rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "rep", "n", "c", "cells", "least")
+            rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "rep", "n", "c", "cells", "least", "fine")
             pairs = mapped(rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), _blocks(percent), "a bigint, b bigint").distinct()
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if step < 2:
                 continue
             break
-        near = materialise(_apart(pairs, _of(pairs, sets), "fine", _open(percent, FINE)), "near")
+        near = pairs if step == 2 else materialise(_apart(pairs, _of(pairs, sets), "fine", _open(percent, FINE)), "near")
         own = _of(near, sets)
         whole = near.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
         found = materialise(mapped(whole.select("a", "b", "left", "right"), _verify(percent), "u bigint, v bigint"), "links")

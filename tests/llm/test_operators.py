@@ -74,13 +74,13 @@ def test_ngram_join_blocks():
         for k in range(size):
             for t in range(blocks):
                 own = k % blocks
-                rows.append((bucket, min(own, t), max(own, t), int(own > t), reps[k], n[k], c[k], counts[k].astype(np.uint8).tobytes(), [bucket] + [ngram_join.NONE] * (ngram_join.LEAST - 1)))
+                rows.append((bucket, min(own, t), max(own, t), int(own > t), reps[k], n[k], c[k], counts[k].astype(np.uint8).tobytes(), [bucket] + [ngram_join.NONE] * (ngram_join.LEAST - 1), b""))
             for m in range(k):
                 if c[k] != c[m] and 100 * max(n[k], n[m]) * 85 <= 100 * 100 * min(n[k], n[m]) and np.abs(counts[k] - counts[m]).sum() * 185 <= (n[k] + n[m]) * 15:
                     expected.add((reps[m], reps[k]))
     rows.sort(key=lambda r: r[:3])
-    types = [pa.int64()] * 7 + [pa.binary(), pa.list_(pa.int64())]
-    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 7]), types)], names=list("abcdefghi")) for k in range(0, len(rows), 7)]
+    types = [pa.int64()] * 7 + [pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 7]), types)], names=list("abcdefghij")) for k in range(0, len(rows), 7)]
     got = {p for b in ngram_join._blocks(85)(iter(batches)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
     assert got == expected and len(expected) > 50
 
