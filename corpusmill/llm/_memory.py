@@ -27,6 +27,7 @@ def _drop_others(owner: str) -> None:
     for name, drop in KEEPERS.items():
         if name != owner:
             drop()
+    _trim()(0)
 
 
 def _frugal(run: Callable) -> Callable:
