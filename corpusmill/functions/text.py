@@ -76,11 +76,14 @@ def char_windows(text: Column, size: int = 900, overlap: int = 120) -> Column:
         raise ValueError("overlap must be smaller than the window")
     step = size - overlap
     width = gcd(size, step)
-    pieces = F.regexp_extract_all(clean_text(text), F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))
     whole, each = size // width, step // width
-    n = F.when(F.size(pieces) <= whole, 1).otherwise(F.ceil((F.size(pieces) - whole) / each).cast("int") + 1)
-    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.trim(F.array_join(F.slice(pieces, k * each + 1, whole), "")))
-    return F.filter(windows, lambda w: w != "")
+
+    def windows(pieces: Column) -> Column:
+        n = F.when(F.size(pieces) <= whole, 1).otherwise(F.ceil((F.size(pieces) - whole) / each).cast("int") + 1)
+        return F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.trim(F.array_join(F.slice(pieces, k * each + 1, whole), ""))), lambda w: w != "")
+
+    pieces = F.regexp_extract_all(clean_text(text), F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))
+    return F.get(F.transform(F.array(pieces), windows), F.lit(0))  # as a lambda's variable the pieces are computed once
 
 
 def token_count(text: Column) -> Column:

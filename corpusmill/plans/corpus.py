@@ -42,8 +42,8 @@ def article_units(spark: SparkSession, d: str) -> DataFrame:
 def document_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Number of windows, lengths of the first four, and the digest of these as a document's sample text."""
     own = _t(spark, d, "documents").select("doc_id", T.char_windows(F.col("text")).alias("w"))
-    first = F.slice("w", 1, 4)
-    return own.filter(F.size("w") > 0).select("doc_id", F.size("w").cast("bigint").alias("chunks"), F.array_join(F.transform(first, lambda x: F.length(x).cast("string")), ",").alias("first_four"), F.md5(F.array_join(first, "\n").cast("binary")).alias("sample"))
+    rolled = lambda w: F.struct(F.size(w).cast("bigint").alias("chunks"), F.array_join(F.transform(F.slice(w, 1, 4), lambda x: F.length(x).cast("string")), ",").alias("first_four"), F.md5(F.array_join(F.slice(w, 1, 4), "\n").cast("binary")).alias("sample"))
+    return own.select("doc_id", F.explode(F.transform(F.array("w"), rolled)).alias("r")).select("doc_id", "r.*").filter("chunks > 0")
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
