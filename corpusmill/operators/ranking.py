@@ -25,15 +25,16 @@ def idf_table(posts: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score) of documents that hold a query term."""
-    posts = postings(docs, id_, text)
-    stats = docs.select(F.size(word_tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posts = posts.crossJoin(F.broadcast(stats))  # one row
-    df = posts.groupBy("term").agg(F.count("*").alias("df"), F.first("n").alias("n"))
+    """(id, score) of documents that hold a query term. Only the vocabulary's counts and a row for each document found are shuffled; ids are to be unique."""
+    own = docs.select(id_, word_tokens(F.col(text)).alias("t"))
+    stats = own.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    df = own.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.filter(F.col("term").isin(terms)).crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = posts.filter(F.col("term").isin(terms)).join(F.broadcast(idf), "term")  # a row for each query term at most
+    idf = raw.filter(F.col("term").isin(terms)).crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    asked = own.select(id_, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("t"))
+    counted = F.transform(F.array_distinct("t"), lambda q: F.struct(q.alias("term"), F.size(F.filter("t", lambda x: x == q)).alias("tf")))
+    hits = asked.select(id_, "dl", F.inline(counted)).join(F.broadcast(idf), "term")  # a row for each query term at most
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(id_).agg(F.round(F.sum(part), 6).alias("score"))
 
