@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, pipeline, quality_mil, secret_scan, substring_dedup, warc
+from . import byte_bpe, collocations, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, pipeline, quality_mil, secret_scan, spelling, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_quality_mil": quality_mil.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.query,
     "op9_html_extraction": html_extraction.query,
     "op10_decontamination": decontamination.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_token_counts": token_counts.query,
+    "op13_collocations": collocations.query,
     "pipeline": pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": ngram_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op10_decontamination": decontamination.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op13_collocations": collocations.SQL,
 }
