@@ -10,22 +10,8 @@ from ..functions.text import word_tokens
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
-def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term, tf, dl): one row a document and term; the length of a document is known before terms are dealt out."""
-    exploded = docs.select(id_, word_tokens(F.col(text)).alias("t")).select(id_, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return exploded.groupBy(id_, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def idf_table(posts: DataFrame, n_docs: Column) -> DataFrame:
-    """(term, df, idf): negative weights become EPSILON times the mean weight."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-
-
 def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score) of documents that hold a query term. Only the vocabulary's counts and a row for each document found are shuffled; ids are to be unique."""
+    """(id, score) of documents that hold a query term, without an index: for a text searched once. Only the vocabulary's counts and a row for each document found are shuffled; ids are to be unique."""
     own = docs.select(id_, word_tokens(F.col(text)).alias("t"))
     stats = own.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     df = own.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
@@ -48,11 +34,11 @@ def top_per_group(df: DataFrame, group: str, k: int, id_: str, score: str = "sco
 
 
 def lexical_overlap(docs: DataFrame, terms: list[str], title: Column, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Share of distinct query terms in a record, +0.1 where one of them is in its title."""
+    """Share of distinct query terms in a record, +0.1 where one of them is in its title; without an index. A text is cut into tokens once."""
     query = F.array(*map(F.lit, sorted(set(terms))))
-    own = docs.withColumn("hit", F.array_intersect(query, word_tokens(F.col(text))))
-    bonus = F.when(F.exists("hit", lambda t: F.contains(F.lower(title), t)), 0.1).otherwise(0.0)
-    return own.filter(F.size("hit") > 0).withColumn("score", F.round(F.size("hit") / len(set(terms)) + bonus, 4)).drop("hit")
+    bonus = lambda hit: F.when(F.exists(hit, lambda t: F.contains(F.lower(title), t)), 0.1).otherwise(0.0)
+    scored = F.transform(F.array(F.array_intersect(query, word_tokens(F.col(text)))), lambda hit: F.when(F.size(hit) > 0, F.round(F.size(hit) / len(set(terms)) + bonus(hit), 4)))
+    return docs.select("*", F.explode(F.array_compact(scored)).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ._inline import Inline
+from .indexes import text_index
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,10 +64,8 @@ def top_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def df_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents")
-    df = docs.select(F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    return df.filter("df >= 5").crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), 6).alias("idf"))  # n: one row
+    """The whole vocabulary, from the stored index."""
+    return text_index(spark, d).terms().select("term", "df", F.round("raw", 6).alias("idf"))
 
 
 def candidate_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +148,7 @@ SQL = {
     "manifest_summary": "SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_catalog' WHEN l.doc_id IS NULL THEN 'missing_docx' ELSE 'matched' END AS status, count(*)::BIGINT AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
     "clean_text": r"WITH c AS (SELECT doc_id, trim(regexp_replace(replace(text, '+', ' '), '[\s\x{0b}\p{Z}]+', ' ', 'g')) AS c FROM documents) SELECT doc_id, length(c)::INT AS n, md5(c) AS digest FROM c",
     "top_keywords": "SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS term FROM documents) WHERE length(term) > 2 GROUP BY term ORDER BY n DESC, term LIMIT 30",
-    "token_df_idf": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln((SELECT count(*) FROM documents) - count(*) + 0.5e0) - ln(count(*) + 0.5e0), 6) AS idf FROM t GROUP BY term HAVING count(*) >= 5",
+    "token_df_idf": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln((SELECT count(*) FROM documents) - count(*) + 0.5e0) - ln(count(*) + 0.5e0), 6) AS idf FROM t GROUP BY term",
     "candidate_dedupe": "SELECT min(doc_id) AS doc_id, lang, count(*)::BIGINT AS copies FROM documents GROUP BY lang, text",
     "topic_quota_select": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rn FROM documents ORDER BY rn, lang LIMIT 50",
     "seed_counts_grouping_sets": "SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from .indexes import text_index
 
 TERMS = ["the", "thing", "der", "que", "tion", "license"]
 _LIST = ", ".join(f"'{t}'" for t in TERMS)
@@ -16,7 +17,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top(R.bm25(_t(spark, d, "documents").select("doc_id", "text"), TERMS), 10, "doc_id")
+    return R.top(text_index(spark, d).bm25(TERMS).withColumnRenamed("id", "doc_id"), 10, "doc_id")
 
 
 _TOK = "tok AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS term FROM documents)"
@@ -31,7 +32,8 @@ FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id ORDER B
 
 
 def lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical_overlap(_t(spark, d, "documents").select("doc_id", "source", "text"), TERMS, F.substring("text", 1, 40)).select("doc_id", "source", "score")
+    """From the stored index. The tables have no titles: a document's first 40 characters stand for one."""
+    return text_index(spark, d).overlap(TERMS, "head").select(F.col("id").alias("doc_id"), "source", "score")
 
 
 _LEX = f"""lex AS (SELECT doc_id, source, round(len(hit) / {len(TERMS)}e0 + CASE WHEN len(list_filter(hit, lambda t: contains(lower(substring(text, 1, 40)), t))) > 0 THEN 0.1e0 ELSE 0e0 END, 4) AS score

@@ -1,0 +1,30 @@
+"""Where tables live that a query writes for itself: the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; unset, a temporary one, which only a local master may use."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="corpusmill-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
