@@ -5,8 +5,8 @@ vector of character and word statistics; a hidden layer embeds it; gated
 attention (tanh and sigmoid branches) weighs the passages of a document, and a
 logistic unit scores the weighted representation. All weights are learned from
 document labels alone, by gradient steps on a sample of at most TRAIN_ROWS
-labelled documents, chosen by a hash of their ids, TRAIN_PASSAGES passages of each
-at most; a score is of the whole text. Only the text is an input.
+labelled documents, chosen by a hash of their ids, with all their passages. Only
+the text is an input.
 
 Null and empty texts are bags without passages: their score is that of a zero
 representation. Texts of any length are read whole. Without labelled rows every
@@ -29,8 +29,8 @@ from ._memory import mapped
 from ._store import table
 
 PASSAGE = 48
-#: The bounds of the training sample: documents, and passages of each, evenly spread over a longer one.
-TRAIN_ROWS, TRAIN_PASSAGES = 8_000, 256
+#: The bound of the training sample in documents, and passages of a gradient step, about: a long document is a step by itself.
+TRAIN_ROWS, STEP_PASSAGES = 8_000, 16_384
 CUT = 0.3
 FOLDS, HELD_OUT = 5, 0
 HIDDEN, GATE = 16, 8
@@ -128,6 +128,15 @@ class Model:
         return g
 
 
+def _steps(order: np.ndarray, bags: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """Documents in order, at most ``batch`` and about STEP_PASSAGES passages at a time."""
+    at, through = 0, np.concatenate([[0], np.cumsum(bags[order])])
+    while at < len(order):
+        to = min(at + batch, max(at + 1, int(np.searchsorted(through, through[at] + STEP_PASSAGES, side="right")) - 1))
+        yield order[at:to]
+        at = to
+
+
 def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.02) -> Model:
     """Adam on batches of documents, in an order fixed by a seed."""
     model = Model(x.mean(axis=0), x.std(axis=0) + 1e-3)
@@ -139,8 +148,7 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 30, batch:
     s = {k: np.zeros_like(v) for k, v in model.w.items()}
     for epoch in range(epochs):
         order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            own = order[at : at + batch]
+        for own in _steps(order, bags, batch):
             rows = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in own])
             step += 1
             for k, g in model.gradients(x[rows], bags[own], y[own]).items():
@@ -155,8 +163,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in slices(batch):
             x, bags = encode(raw, offsets)
             edges = np.concatenate([[0], np.cumsum(bags)])
-            chosen = (x[a:b] if b - a <= TRAIN_PASSAGES else x[np.linspace(a, b - 1, TRAIN_PASSAGES).astype(np.int64)] for a, b in zip(edges[:-1], edges[1:]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in chosen], pa.binary())], names=["doc_id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "quality", "bag"])
 
 
 def held_out(doc_id: Column) -> Column:
