@@ -16,7 +16,9 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+#: What is in these is no text. A slash closes an element of FOREIGN at once.
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math object iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option select button".split()
 )
@@ -217,12 +219,12 @@ def blocks(page: str) -> list[Block]:
         number += 1
         element = _element(tag, attributes, number, stack.items[-1])
         if tag in RAW:
-            if attributes.rstrip().endswith("/") and tag in ("svg", "math", "object", "iframe"):
-                continue
             close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             if close is None:
                 unclosed.add(tag)
-            at = jump = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+            at = jump = close.end() if close else end
+            continue
+        if tag in FOREIGN and attributes.rstrip().endswith("/"):
             continue
         if tag == "a":
             in_link += 1

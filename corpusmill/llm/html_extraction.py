@@ -259,7 +259,7 @@ def around(block: Block) -> dict[int, int]:
 
 
 def main_blocks(found: list[Block]) -> list[Block]:
-    found = [b for b in found if not b.element.hidden and not inherited(b.element)[2]]
+    found = [b for b in found if not inherited(b.element)[2]]
     if not found:
         return []
     p = 1 / (1 + np.exp(-np.clip(np.array([features(b) for b in found]) @ weights(), -30, 30)))
