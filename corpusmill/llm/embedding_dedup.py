@@ -1,21 +1,26 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
-Vectors of one label and length are dealt into tiles of about TILE_BYTES. Each
-pair of tiles of a label meets in one task, by one shuffle; so a tile travels once
-for every tile of its label, in the precision of its input (4 bytes a component of
-array<float>, which is exact). A
+Vectors of one label and length are dealt into tiles of about TILE_BYTES, and the
+grid of tile pairs into squares of up to SQUARE by SQUARE tiles. A task holds the
+tiles of a square's one side and streams those of the other past them; so by one
+shuffle a tile travels once for every SQUARE tiles of its label, in the precision
+of its input (4 bytes a component of array<float>, which is exact). Labels of fewer
+tiles have smaller squares, which keeps tasks many. A
 vector x of length 1 is s*q + e with whole q in [-127, 127]; so the cosine of x
 and y is at most s_x*s_y*(q_x.q_y) + |e_x| + (1 + |e_x|)*|e_y|. A tile product of
-the q (exact in 32-bit floats) gives that bound for all pairs of two tiles, and
-only pairs whose bound reaches the threshold are computed again in double
-precision. A tile product gives each vector's links as a sum and a spanning
-forest, never all its linked pairs.
+the q gives that bound for all pairs of two tiles: 32-bit floats are exact for
+EXACT components (127 * 127 * 1,040 is below 2^24), of which longer vectors are
+summed in whole numbers. Only pairs whose bound reaches the threshold are computed
+again in double precision. A tile product gives each vector's links as a sum and a
+spanning forest, never all its linked pairs.
 
 Equal vectors of one label are one class, with its number of copies. Vectors that
 are null, empty or zero, that hold null or non-finite components, or whose label
 is null link with nothing; vectors of different lengths do not link. Rows that
-share a vec_id are one node. A null vec_id links with nothing; its component is
-null and it is not kept. An empty table gives an empty result.
+share a vec_id are one node, whatever their vectors and labels are: what one of
+them reaches, all reach. n_links is of each row: the other rows linked to its
+vector. A null vec_id links with nothing; its component is null and it is not
+kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +40,10 @@ from ._store import materialise, table
 THRESHOLD = 0.98
 #: Bytes of a tile's vectors: the larger, the less is shuffled; a task holds two tiles.
 TILE_BYTES = 4 << 20
+#: Tiles of a square's side at most, and tiles of a label for each tile of a side.
+SQUARE, TILES_FOR_ONE = 8, 16
+#: Components whose int8 products sum exactly in 32-bit floats.
+EXACT = 1_024
 _ROWS = 256
 
 
@@ -79,10 +88,12 @@ def tile_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> It
     """Index pairs of linked rows of unit vectors x and y, by blocks of rows of x; in one tile (``same``) each pair once."""
     (qx, sx, ex), (qy, sy, ey) = quantise(x), quantise(y)
     right = qy.T.astype(np.float32)
+    cuts = range(0, x.shape[1], EXACT)
     for at in range(0, len(x), _ROWS):
         to = min(at + _ROWS, len(x))
-        product = qx[at:to].astype(np.float32) @ right
-        bound = product * sx[at:to, None] * sy + ex[at:to, None] + (1 + ex[at:to, None]) * ey
+        own = qx[at:to].astype(np.float32)
+        product = own @ right if len(cuts) == 1 else sum((own[:, c : c + EXACT] @ right[c : c + EXACT]).astype(np.float64) for c in cuts)
+        bound = product.astype(np.float64) * sx[at:to, None] * sy + ex[at:to, None] + (1 + ex[at:to, None]) * ey
         i, j = np.nonzero(bound >= threshold - 1e-6)
         i += at
         if same:
@@ -94,44 +105,51 @@ def tile_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> It
                 yield a[keep], b[keep]
 
 
-def _unit(raw: pa.Scalar, kind: np.dtype, size: int) -> np.ndarray:
-    x = np.frombuffer(raw.as_buffer(), dtype=kind).astype(np.float64).reshape(-1, size)
+def _unit(raw: bytes, kind: np.dtype, size: int) -> np.ndarray:
+    x = np.frombuffer(raw, dtype=kind).astype(np.float64).reshape(-1, size)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _compare(threshold: float, width: int) -> Callable:
-    """Reads tiles sorted by pair, the left one first: gives (u, u, links of u) and a spanning forest of the links as (u, v, 0)."""
+    """Reads tiles sorted by square, those of the held side first: gives (u, u, links of u) and a spanning forest of the links as (u, v, 0)."""
     kind = np.dtype(f"<f{width}")
 
+    def linked(one: tuple, other: tuple, same: bool) -> pa.RecordBatch | None:
+        (ids1, copies1, raw1, size), (ids2, copies2, raw2, _) = one, other
+        x = _unit(raw1, kind, size)
+        y = x if same else _unit(raw2, kind, size)
+        counts, counts2, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for a, b in tile_links(x, y, same, threshold):
+            np.add.at(counts, a, copies2[b])
+            np.add.at(counts2, b, copies1[a])
+            edges = forest(np.concatenate([edges[0], ids1[a]]), np.concatenate([edges[1], ids2[b]]))
+        on, on2 = counts > 0, counts2 > 0
+        u = np.concatenate([ids1[on], ids2[on2], edges[0]])
+        n = np.concatenate([counts[on], counts2[on2], np.zeros(len(edges[0]), np.int64)])
+        v = np.concatenate([ids1[on], ids2[on2], edges[1]])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"]) if len(u) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = left = None
+        key, held = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                label, size, i, j, _, ids, copies, raw = (batch.column(k)[row] for k in range(batch.num_columns))
-                own = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(copies.as_buffer(), np.int64), _unit(raw, kind, size.as_py())
+                label, size, i, j, side, ids, copies, raw = (batch.column(k)[row] for k in range(batch.num_columns))
+                own = np.frombuffer(ids.as_buffer(), np.int64).copy(), np.frombuffer(copies.as_buffer(), np.int64).copy(), raw.as_buffer().to_pybytes(), size.as_py()
                 if (label, size, i, j) != key:
-                    key, left = (label, size, i, j), own
-                    if i != j:
-                        continue
-                (ids1, copies1, x), (ids2, copies2, y) = left, own
-                counts, counts2, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                for a, b in tile_links(x, y, i == j, threshold):
-                    np.add.at(counts, a, copies2[b])
-                    np.add.at(counts2, b, copies1[a])
-                    edges = forest(np.concatenate([edges[0], ids1[a]]), np.concatenate([edges[1], ids2[b]]))
-                on, on2 = counts > 0, counts2 > 0
-                u = np.concatenate([ids1[on], ids2[on2], edges[0]])
-                n = np.concatenate([counts[on], counts2[on2], np.zeros(len(edges[0]), np.int64)])
-                v = np.concatenate([ids1[on], ids2[on2], edges[1]])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
+                    key, held = (label, size, i, j), []
+                if i == j:  # each pair of the square's tiles once, and each tile with itself
+                    held.append(own)
+                found = (linked(one, own, one is own) for one in held) if i == j or side.as_py() else ()
+                yield from (x for x in found if x is not None)
+                if i != j and not side.as_py():
+                    held.append(own)
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
+    """vec_id, n_links, component_id, kept. One row for each row of ``vectors``."""
     spark = vectors.sparkSession
     kind = vectors.schema["embedding"].dataType.simpleString()
     width, kind = (4, "array<float>") if kind == "array<float>" else (8, "array<double>")
@@ -141,16 +159,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_bytes
     sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") * F.col("size") * width / tile_bytes).cast("bigint").alias("tiles"))
     dealt = classes.join(sizes, ["label", "size"]).withColumn("tile", F.pmod(F.xxhash64("print"), F.col("tiles")))
     tiles = materialise(dealt.groupBy("label", "size", "tile").applyInArrow(_tile, "label bigint, size bigint, tile bigint, tiles bigint, ids binary, copies binary, raw binary"), "tiles")
-    sent = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
-    sent = sent.select("label", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "ids", "copies", "raw")
+    pairs = _squares(tiles)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = sent.repartition(parts, "label", "size", "i", "j").sortWithinPartitions("label", "size", "i", "j", "side")
+    pairs = pairs.repartition(parts, "label", "size", "i", "j").sortWithinPartitions("label", "size", "i", "j", "side")
     found = materialise(mapped(pairs, _compare(threshold, width), "u bigint, v bigint, n bigint"), "links")
-    groups = components(found.filter("u <> v").select("u", "v"))
+    members = materialise(own.mapInArrow(_profile(width), "vec_id bigint, label bigint, print binary, raw binary").select("vec_id", "print"), "members")
+    groups = components(found.filter("u <> v").select("u", "v").union(_same_ids(members, classes)))
     counts = found.filter("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     of = classes.join(counts, "rep", "left").join(groups, F.col("rep") == groups["node"], "left").select("print", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows = own.mapInArrow(_profile(width), "vec_id bigint, label bigint, print binary, raw binary").select("vec_id", "print").join(of, "print", "left")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    rows = materialise(members.join(of, "print", "left").select("vec_id", "n_links", "component_id"), "rows")
+    nodes = rows.filter("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("component_id").alias("own"))  # rows of an id that link with nothing go with its others
+    whole = rows.join(nodes, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("own", "vec_id").alias("component_id"))
+    return whole.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _squares(tiles: DataFrame) -> DataFrame:
+    """Each tile once for each square of its label's grid that it has a side in; the held side is 0."""
+    wide = F.greatest(F.lit(1), F.least(F.lit(SQUARE), F.floor(F.col("tiles") / TILES_FOR_ONE))).cast("bigint")
+    own = tiles.withColumn("wide", wide).withColumn("at", F.floor(F.col("tile") / F.col("wide")).cast("bigint")).withColumn("last", F.floor((F.col("tiles") - 1) / F.col("wide")).cast("bigint"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
+    return sent.select("label", "size", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"), "ids", "copies", "raw")
+
+
+def _same_ids(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between the classes that rows of one vec_id belong to."""
+    places = members.filter("print IS NOT NULL").join(classes.select("print", "rep"), "print").select("vec_id", "rep")
+    ends = places.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("vec_id", "low")
+    return places.join(ends, "vec_id").filter("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

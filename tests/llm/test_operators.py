@@ -226,6 +226,42 @@ def test_embeddings(spark):
         assert got[i] == (len(link[i]), min(seen), min(seen) == i)
 
 
+def test_embeddings_shared_ids(spark):
+    """Rows of one vec_id are one node, also those that link with nothing."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (7, b, 1), (7, None, 1), (9, c, None), (9, c, 2), (2, c, 2), (None, a, 1), (11, a, 2), (11, a, 2)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect() if r["vec_id"] is not None)
+    assert got == [(2, 1, 2, True), (3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (7, 0, 3, False), (7, 1, 3, False), (9, 0, 2, False), (9, 1, 2, False), (11, 1, 11, True), (11, 1, 11, True)]
+
+
+def test_embedding_squares(spark, monkeypatch):
+    """Squares of several tiles give the same rows, and send each tile fewer times."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, (base[i % 30] + rng.normal(size=8) * 0.1).tolist(), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    one = sorted(map(tuple, embedding_dedup.near_duplicates(df, tile_bytes=512).collect()))
+    tiles = spark.createDataFrame([(1, 8, t, 40, b"", b"", b"") for t in range(40)], "label bigint, size bigint, tile bigint, tiles bigint, ids binary, copies binary, raw binary")
+    monkeypatch.setattr(embedding_dedup, "TILES_FOR_ONE", 10_000)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df, tile_bytes=512).collect())) == one and embedding_dedup._squares(tiles).count() == 1600
+    monkeypatch.setattr(embedding_dedup, "TILES_FOR_ONE", 4)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df, tile_bytes=512).collect())) == one and embedding_dedup._squares(tiles).count() == 200
+    assert sum(r[1] for r in one) > 500
+
+
+def test_long_vectors():
+    """Products of 8,192 components of +1 and -1, with no slack to spare."""
+    rng = np.random.default_rng(9)
+    x = rng.choice([-1.0, 1.0], (40, 8192))
+    y = x.copy()
+    y[:, :37] *= -1
+    x /= np.sqrt(8192)
+    y /= np.sqrt(8192)
+    exact = (8192 - 2 * 37) / 8192
+    found = {(int(i), int(j)) for a, b in embedding_dedup.tile_links(x, y, False, exact - 1e-9) for i, j in zip(a, b)}
+    assert found == {(i, i) for i in range(40)}
+
+
 def test_quantisation_bound():
     x = np.random.default_rng(2).normal(size=(50, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -359,6 +395,30 @@ def test_language_scripts(spark):
     assert len(got) > 200 and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.98
 
 
+def test_extraction_foreign():
+    """Text of formulas, drawings, objects, frames, noscript, templates and hidden elements of an article is text; scripts, styles and forms are none."""
+    long_ = "The law of the land is the law that the people of the land have made for themselves, and it holds for all of them."
+    inner = {
+        "math": "<math><mi>E</mi><mo>=</mo><mi>mc</mi></math>", "svg": '<svg><path d="M0"/><text>Figure one</text></svg>', "object": "<object data=x>instead</object>", "iframe": "<iframe src=x>frame text</iframe>", "noscript": "<noscript>no script</noscript>", "template": "<template>kept words</template>", "hidden": "<span hidden>unseen words</span>",
+    }
+    for name, piece in inner.items():
+        text = html_extraction.main_text(f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><p>{long_} {piece} as shown.</p><p>{long_}</p></article><script>var x = 1</script><footer>Copyright 2020</footer></body></html>")
+        said = re.sub("<[^>]*>", "", piece)
+        assert text == f"{long_} {said} as shown.\n\n{long_}", name
+    page = f"<body><article><p>{long_}</p><noscript><p>{long_}</p></noscript><div style='display:none'><p>{long_}</p></div><svg/><p>{long_}</p><style>p{{}}</style><textarea>no</textarea></article></body>"
+    assert html_extraction.main_text(page).split("\n\n") == [long_] * 4
+
+
+def test_whole_bags():
+    """A long document trains with all its passages, in steps of bounded size."""
+    bags = np.array([3, 40_000, 2, 9, 1, 0, 5])
+    steps = [s.tolist() for s in quality_mil._steps(np.arange(7), bags, 3)]
+    assert [i for s in steps for i in s] == list(range(7)) and [1] in steps and max(map(len, steps)) <= 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["word " * 30_000], "quality": [1]})
+    (got,) = quality_mil._bags(iter([batch]))
+    assert len(got.column("bag")[0].as_py()) == 625 * quality_mil.WIDTH * 4
+
+
 def test_extraction_hostile():
     """Broken pages of a megabyte are read in linear time, and whole."""
     import time
