@@ -4,7 +4,8 @@ The distinct words of a batch become token-position rows, one for each byte. A
 recursive query joins neighbouring tokens with the merge table and contracts each
 word's leftmost pair of minimum rank until no pair is left; words at their
 fixpoint leave the recursion. Decoding joins ids with the vocabulary and
-aggregates their bytes in order. Texts are cut by the tokenizer's pattern; the
+aggregates their bytes in order, once for each distinct word; a document's bytes
+are those of its words in order, as its ids are. Texts are cut by the tokenizer's pattern; the
 results of words met before are kept in a worker up to a fixed number and then
 dropped, which changes speed only. Words above LONG bytes, for which contraction
 by whole rounds takes quadratic time, go through the same merges with a heap.
@@ -72,6 +73,8 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
+        #: Only of this pattern it is known where words begin and that letters alone are one word.
+        self.known_pattern = pattern == public_tokenizers.PATTERN
         left, right, rank = [], [], []
         for token, value in self.ranks.items():
             for i in range(1, len(token)):
@@ -160,6 +163,8 @@ class Coder:
 
     def segments(self, text: str) -> list[str]:
         """Cuts the text before each space where every word boundary of the pattern falls: between two characters that are no white space."""
+        if not self.known_pattern:
+            return [text]
         if self._NEAR.search(text) or text[:1].isspace() or text[-1:].isspace():
             return self.pattern.findall(text)
         first, *rest = text.split(" ")
@@ -174,7 +179,7 @@ class Coder:
         parts, words = {}, set()
         for x in set().union(*cut):
             bare = x[1:] if x[0] == " " else x
-            if bare.isalpha():  # one word of the pattern
+            if self.known_pattern and bare.isalpha():  # one word of the pattern
                 words.add(x)
             else:
                 parts[x] = self.pattern.findall(x)
