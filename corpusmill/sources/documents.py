@@ -30,7 +30,7 @@ def refresh(spark: SparkSession, source: str, root: str) -> Version:
     """Publish the manifest of all files below ``source`` as they are now: path, name, length, modificationTime, digest, kind, fresh (read in this run).
 
     Known is what has the path, length and time of the last manifest: it is taken over. The listing reads no contents; files changed since the latest known time
-    are read by a filter on the time that the scan itself applies, others that are new under an old time by their names. Files that are gone are left out.
+    are read by a filter on the time that the scan itself applies, others that are new under an old time by their names. Files that are gone are left out, and empty ones, which Spark does not list.
     """
     listing = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     there = listing().load(source).select("path", "length", "modificationTime")
