@@ -127,21 +127,28 @@ def react_step(text: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "tool", part(1)).alias("tool"), F.when(kind == "tool", part(2)).alias("args"), F.when(kind == "final", F.trim(F.regexp_extract(clean, r"(?ms)^Final Answer:\s*(.*)", 1))).alias("answer"))
 
 
-#: Units of Chinese numbers.
+#: Units of Chinese numbers, how signs are written otherwise, and names of the yuan after a number.
 UNITS = {"亿": 10**8, "万": 10**4, "千": 1000, "百": 100}
+SIGNS = {"（": "(", "）": ")", "，": ",", "。": ".", "×": "*", "x": "*", "X": "*", "÷": "/", "＋": "+", "－": "-", "^": "**", "倍": ""}
+YUAN = ("元", "块钱", "块")
+_NUMBER = r"(\d+(?:\.\d+)?)\s*"
 _BINARY: dict[type, Callable] = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv, ast.Pow: operator.pow}
 _CALLS: dict[str, Callable] = {"round": round, "abs": abs, "min": min, "max": max}
 #: A power beyond these could take the worker's memory.
 _BASE, _POWER = 1e6, 64
 
 
+def plain_sum(expression: str) -> str:
+    """The expression in plain signs: no commas in thousands, each percentage as a quotient, no yuan, units multiplied out. A % after a number is always a percentage, and every x a multiplication, also that of max."""
+    text = expression.strip().translate(str.maketrans(SIGNS))
+    text = re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", text)
+    text = re.sub(_NUMBER + "[%％]", r"(\1/100)", text)
+    text = re.sub(_NUMBER + f"(?:{'|'.join(YUAN)})", r"\1", text)
+    return re.sub(_NUMBER + f"([{''.join(UNITS)}])", lambda m: f"({m[1]}*{UNITS[m[2]]})", text)
+
+
 def calculate(expression: str | None) -> float | None:
-    """The value of an arithmetic expression: numbers, + - * / // % ** and brackets, percent, units and yuan; nothing else is run. None where it is no such thing."""
-    text = (expression or "").replace("（", "(").replace("）", ")").replace("×", "*").replace("÷", "/").replace("，", ",").replace("％", "%")
-    text = re.sub(r"(\d),(?=\d{3}\b)", r"\1", text)
-    text = re.sub(r"[¥￥]\s*|元", "", text)
-    text = re.sub(r"(\d+(?:\.\d+)?)\s*([亿万千百])", lambda m: f"({m[1]}*{UNITS[m[2]]})", text)
-    text = re.sub(r"(\d+(?:\.\d+)?)\s*%(?!\s*[\d(])", r"(\1/100)", text)
+    """The value of an arithmetic expression (see ``plain_sum``): numbers, + - * / // % ** and brackets, abs, min, max and round; nothing else is run. None where it is no such thing."""
 
     def value(node: ast.AST) -> float:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
@@ -159,7 +166,7 @@ def calculate(expression: str | None) -> float | None:
         raise ValueError("not arithmetic")
 
     try:
-        found = value(ast.parse(text.strip(), mode="eval").body)
+        found = value(ast.parse(plain_sum(expression or ""), mode="eval").body)
         return found if isinstance(found, float) and found == found and abs(found) != float("inf") else None
     except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, TypeError, RecursionError, MemoryError):
         return None

@@ -87,11 +87,15 @@ def edges(memories: DataFrame) -> DataFrame:
     """(user, a, b, weight) with a < b and weight of MIN_WEIGHT or more.
 
     Without a shared reference, tag or keyword a weight stays below that, so memories meet by
-    those keys alone and no pair is lost; only ids are shuffled until pairs are distinct.
+    those keys alone and no pair is lost. A pair is made by its least common key only, so that it
+    comes once and need not be made distinct; a key that very many memories of a user share is split
+    by adaptive skew joins.
     """
     keys = F.concat(F.transform("refs", lambda x: F.concat(F.lit("r:"), x)), F.transform("tags", lambda x: F.concat(F.lit("t:"), x)), F.transform("keywords", lambda x: F.concat(F.lit("k:"), x)))
-    own = memories.select("user", "id", F.explode(F.array_distinct(keys)).alias("key"))
-    met = own.withColumnRenamed("id", "a").join(own.withColumnRenamed("id", "b"), ["user", "key"]).filter("a < b").select("user", "a", "b").distinct()
+    own = memories.select("user", "id", F.array_distinct(keys).alias("keys")).select("user", "id", "keys", F.explode("keys").alias("key"))
+    own = own.withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))  # a pair that shares one of these was made by it
+    met = own.select("user", "key", F.col("id").alias("a"), F.col("keys").alias("before_a")).join(own.select("user", "key", F.col("id").alias("b"), F.col("keys").alias("before_b")), ["user", "key"])
+    met = met.filter((F.col("a") < F.col("b")) & ~F.arrays_overlap("before_a", "before_b")).select("user", "a", "b")
     side = lambda p: memories.select("user", *(F.col(c).alias(f"{p}_{c}" if c != "id" else p) for c in ("id", "layer", "category", "session", "refs", "tags", "keywords")))
     pairs = met.join(side("a"), ["user", "a"]).join(side("b"), ["user", "b"])
     return pairs.select("user", "a", "b", F.round(edge_weight("a_", "b_"), 6).alias("weight")).filter(F.col("weight") >= MIN_WEIGHT)

@@ -72,13 +72,18 @@ def aliases(regions: DataFrame) -> DataFrame:
     return regions.select(F.col("name").alias("alias"), "code").unionByName(once).distinct()
 
 
-def mentions(texts: DataFrame, known: DataFrame, id_: str, text: str, longest: int) -> DataFrame:
-    """(id, code) of the regions whose alias a text holds: its substrings of 2 to ``longest`` characters meet the aliases by an equi-join."""
-    n = F.length(text)
-    at = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda k: F.substring(F.col(text), i, k))))
-    own = texts.select(id_, F.explode(F.array_distinct(pieces)).alias("alias"))
-    return own.join(known, "alias").select(id_, "code").distinct()
+def mentions(texts: DataFrame, known: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, code) of the regions whose alias a text holds, whatever their lengths.
+
+    The distinct pairs of characters of a text meet the first two of the aliases; of the candidates, whose text comes by a
+    second join, those stay whose alias is in the text. Aliases of one character meet single characters.
+    """
+    first = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k)))
+    starts = known.filter(F.length("alias") > 0).select("alias", "code", F.substring("alias", 1, 2).alias("start"))
+    heads = texts.select(id_, F.explode(F.array_union(first(F.col(text), 2), first(F.col(text), 1))).alias("start"))
+    met = heads.join(starts, "start").select(id_, "alias", "code")
+    whole = met.join(texts.select(id_, F.col(text).alias("_text")), id_).filter(F.contains("_text", F.col("alias")))
+    return whole.select(id_, "code").distinct()
 
 
 def deepest(found: DataFrame, regions: DataFrame, id_: str, limit: int = 3) -> DataFrame:
@@ -118,21 +123,32 @@ def _closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": b["key"], "other": b["other"], "ratio": ratio})
 
 
+def _breaks(n: Column) -> Column:
+    """How many characters of a title of length n and an alike one, together, can be unmatched, if the other is as long as it may be."""
+    return F.floor((1 - ALIKE) * (n + n * (2 - ALIKE) / ALIKE) + 1e-9).cast("int")
+
+
+def _cuts(n: Column) -> Column:
+    """(piece, start, size): a title of length n cut into one piece more than it can have breaks."""
+    p = _breaks(n) + 1
+    at = lambda i: F.floor(i * n / p).cast("int")
+    return F.transform(F.sequence(F.lit(0), p - 1), lambda i: F.struct(i.alias("piece"), at(i).alias("start"), (at(i + 1) - at(i)).alias("size")))
+
+
 def alike_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key, other): for keys of ``left`` the most alike of ``right``, by a ratio of ALIKE or more.
 
-    A ratio r of lengths m and n means r(m + n)/2 characters matched in blocks of consecutive
-    ones, so the lengths fit within r/(2 - r), and (1 - r)(m + n) characters of both are not
-    matched. These part the matched ones into at most one block more than they are, so of a
-    title of SHORT characters or more some block has three. Titles meet by such runs (shorter ones by
-    length alone), and only then the ratio is asked.
+    A ratio r of lengths m and n leaves (1 - r)(m + n) characters unmatched, and the lengths fit within r / (2 - r). Each of these
+    breaks one piece of the key at most, so if it is cut into one piece more than that, one piece (of about six characters) is whole in the
+    other title, shifted by no more than what is unmatched. Titles meet by such pieces with length and number, and only then the ratio is asked.
     """
-    run = lambda c: F.when(F.length(c) < SHORT, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))
-    both = lambda c: F.when(F.length(c) < SHORT / (ALIKE / (2 - ALIKE)), F.array_append(run(c), F.lit(""))).otherwise(run(c))
-    block = lambda df, c, runs: df.select(F.col("key").alias(c), F.explode(F.array_distinct(runs(F.col("key")))).alias("run"), F.length("key").alias("n_" + c))
-    share = ALIKE / (2 - ALIKE)
-    lengths = F.explode(F.sequence(F.ceil(F.col("n_k") * share).cast("int"), F.floor(F.col("n_k") / share).cast("int"))).alias("n_other")
-    met = block(left, "k", run).select("k", "run", lengths).join(block(right, "other", both), ["run", "n_other"]).select(F.col("k").alias("key"), "other").distinct()
+    share, n = ALIKE / (2 - ALIKE), F.length("key")
+    own = left.select("key", n.alias("n"), F.explode(_cuts(n)).alias("c")).select("key", "n", "c.piece", F.substring(F.col("key"), F.col("c.start") + 1, F.col("c.size")).alias("text"))
+    sizes = F.sequence(F.ceil(n * share - 1e-9).cast("int"), F.floor(n / share + 1e-9).cast("int"))
+    cut = right.select(F.col("key").alias("other"), F.explode(sizes).alias("n")).filter("n > 0").select("other", "n", F.explode(_cuts(F.col("n"))).alias("c"))
+    shifts = F.sequence(F.greatest(F.col("c.start") - _breaks(F.col("n")), F.lit(0)), F.least(F.col("c.start") + _breaks(F.col("n")), F.length("other") - F.col("c.size")))
+    placed = cut.filter(F.length("other") >= F.greatest(F.col("c.start") - _breaks(F.col("n")), F.lit(0)) + F.col("c.size")).select("other", "n", "c.piece", F.explode(F.array_distinct(F.transform(shifts, lambda i: F.substring(F.col("other"), i + 1, F.col("c.size"))))).alias("text"))
+    met = own.join(placed, ["n", "piece", "text"]).select("key", "other").distinct()
     rated = met.mapInPandas(_closest, "key string, other string, ratio double").filter(F.col("ratio") >= ALIKE)
     return rated.groupBy("key").agg(F.max_by("other", F.struct("ratio", "other")).alias("other"))
 

@@ -1,10 +1,11 @@
-"""Rows written in a query itself: the same ones as a DataFrame and as a DuckDB table expression."""
+"""Rows written in a query itself: the same ones as a DataFrame and as a DuckDB table expression, by themselves or dealt over a given table."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Types of DuckDB for those of Spark's schema strings.
 _TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]"}
@@ -45,3 +46,44 @@ class Inline:
 def strings(values: tuple[str, ...] | list[str]) -> str:
     """A DuckDB list of strings."""
     return _literal(list(values))
+
+
+#: How far the numbers of one round of rows are from those of the next.
+ROUND = 1_000
+
+
+@dataclass
+class Spread(Inline):
+    """``rows`` dealt over a given table: each of its rows, in rounds of as many as there are ``rows``, has the one that its key names.
+
+    Columns ``ids`` get the number of the round, so that what belongs together in ``rows`` does so in each round; to the columns ``texts`` a piece of the
+    table's own text is added, which differs from row to row.
+    """
+
+    ids: tuple[str, ...] = ("id",)
+    texts: tuple[str, ...] = ()
+    table: str = "documents"
+    key: str = "doc_id"
+    text: str = "text"
+
+    def df(self, spark: SparkSession, d: str) -> DataFrame:  # type: ignore[override]
+        n, key = len(self.rows), F.col(self.key).cast("bigint")
+        piece = F.substring(F.coalesce(F.col(self.text), F.lit("")), (key % 97 + 1).cast("int"), F.lit(12))
+        own = spark.read.parquet(f"{d}/{self.table}.parquet").filter(F.col(self.key).isNotNull()).select((key % n).cast("int").alias("_k"), F.floor(key / n).alias("_round"), piece.alias("_piece"))
+        kinds = ", ".join(f"_c{i} {x.split()[1]}" for i, x in enumerate(self.schema.split(",")))
+        bank = spark.createDataFrame([(k, *r) for k, r in enumerate(self.rows)], f"_k int, {kinds}")
+        names = [x.split()[0] for x in self.schema.split(",")]
+        joined = own.join(F.broadcast(bank), "_k")  # the rows above, written in the source
+        value = lambda i, c: (F.col("_round") * ROUND + F.col(f"_c{i}")).cast("bigint") if c in self.ids else F.concat(F.col(f"_c{i}"), F.lit(" "), F.col("_piece")) if c in self.texts else F.col(f"_c{i}")
+        return joined.select(*(value(i, c).alias(c) for i, c in enumerate(names)))
+
+    @property
+    def sql(self) -> str:
+        n, names = len(self.rows), [x.split()[0] for x in self.schema.split(",")]
+        fields = [x.split()[1] for x in self.schema.split(",")]
+        values = ", ".join("(" + ", ".join([str(k), *map(_literal, r)]) + ")" for k, r in enumerate(self.rows))
+        bank = f"(SELECT k, {', '.join(f'c{i}::{_TYPES[t]} AS c{i}' for i, t in enumerate(fields))} FROM (VALUES {values}) x(k, {', '.join(f'c{i}' for i in range(len(names)))}))"
+        value = lambda i, c: f"(t.round * {ROUND} + v.c{i})::BIGINT" if c in self.ids else f"v.c{i} || ' ' || t.piece" if c in self.texts else f"v.c{i}"
+        columns = ", ".join(f'{value(i, c)} AS "{c}"' for i, c in enumerate(names))
+        own = f"(SELECT {self.key} % {n} AS k, {self.key} // {n} AS round, substring(coalesce({self.text}, ''), ({self.key} % 97 + 1)::INT, 12) AS piece FROM {self.table} WHERE {self.key} IS NOT NULL)"
+        return f"(SELECT {columns} FROM {own} t JOIN {bank} v ON v.k = t.k)"

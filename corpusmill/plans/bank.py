@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ._inline import Inline, strings
+from ._inline import Inline, Spread, strings
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-ITEMS = Inline(
+ITEMS = Spread(
     "id int, sample string, question string, answer string, refs array<string>",
     [
         (1, "exam-12", "租赁合同到期后，房东拒绝退还押金，租客应当如何主张？", "依据《民法典》，出租人应当返还押金，担保目的消灭后不得扣留。", ["民法典"]),
@@ -25,24 +25,23 @@ ITEMS = Inline(
         (6, "sim-case-match-7", "公司法规定股东会与董事会的职权，请说明两者的关系。", "股东会是权力机构，董事会是执行机构；解析：见公司法。", ["公司法", "证券法", "票据法"]),
         (7, "jud_doc_sum_1", "", "无", []),
         (8, "leg-case-cls-2", "侦查阶段可以取保候审吗？ 辩护人何时介入？", "可以。取保候审属于强制措施，侦查期间即可委托辩护人。" * 8, ["刑事诉讼法"]),
-    ],
-)
+    ], texts=("question", "answer"))
 
 
-def items(spark: SparkSession) -> DataFrame:
-    own = ITEMS.df(spark).withColumn("family", R.task_family(F.col("sample"))).withColumn("scores", R.topic_scores(F.col("question"), F.col("answer"), F.col("refs")))
+def items(spark: SparkSession, d: str) -> DataFrame:
+    own = ITEMS.df(spark, d).withColumn("family", R.task_family(F.col("sample"))).withColumn("scores", R.topic_scores(F.col("question"), F.col("answer"), F.col("refs")))
     own = own.withColumn("topic", R.topic(F.col("scores"))).withColumn("difficulty", R.difficulty(F.col("family"), F.col("question"), F.col("answer")))
     return own.withColumn("type", R.question_type(F.col("family"), F.lit(False), F.col("id") == 6))
 
 
 def topic_inference(spark: SparkSession, d: str) -> DataFrame:
     best = F.sort_array("scores", asc=False)[0]["score"]
-    return items(spark).select("id", "family", "topic", best.alias("score"))
+    return items(spark, d).select("id", "family", "topic", best.alias("score"))
 
 
 def bank_rules(spark: SparkSession, d: str) -> DataFrame:
     q, a = F.col("question"), F.col("answer")
-    return items(spark).select("id", "type", "difficulty", F.array_join(R.tags(F.col("topic"), q, a, F.col("refs"), F.col("type")), "|").alias("tags"), R.needs_context(q).alias("needs_context"), R.rejected(q, a).alias("rejected"), R.long_enough(q, a, R.answer_head(a), F.lit(False)).alias("long_enough"), R.key(q).alias("compare"))
+    return items(spark, d).select("id", "type", "difficulty", F.array_join(R.tags(F.col("topic"), q, a, F.col("refs"), F.col("type")), "|").alias("tags"), R.needs_context(q).alias("needs_context"), R.rejected(q, a).alias("rejected"), R.long_enough(q, a, R.answer_head(a), F.lit(False)).alias("long_enough"), R.key(q).alias("compare"))
 
 
 def difficulty_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +208,7 @@ _TAGWORDS = "CASE topic " + " ".join(f"WHEN '{t}' THEN {strings(w)}" for t, w in
 _SCORE = "SELECT " + ", ".join("(" + " + ".join(f"CASE WHEN contains(x, '{w}') THEN 4 ELSE 0 END + CASE WHEN contains(right(x, 200), '{w}') THEN 2 ELSE 0 END" for w in words) + f") AS {t}" for t, words in _TERMS.items()) + " FROM (SELECT lower(text) AS x FROM documents WHERE text IS NOT NULL)"
 SQL = {
     "topic_inference": _ITEM + " SELECT id, family, topic, score::INT AS score FROM t",
-    "bank_rules": _ITEM + f", y AS (SELECT *, CASE WHEN id = 6 THEN 'case_analysis' ELSE {_TYPE} END AS type FROM t), c AS (SELECT *, list_filter(list_concat(list_concat([topic], refs[1:2]), list_concat([CASE type WHEN 'case_analysis' THEN '案例分析题' ELSE '简答题' END], list_filter({_TAGWORDS}, lambda w: contains(question || ' ' || answer, w)))), lambda x: x <> '') AS l FROM y) SELECT id, type, {_DIFF.format(q='question', a='answer')} AS difficulty, array_to_string(list_filter(l, lambda x, k: list_position(l, x) = k)[1:5], '|') AS tags, trim(question) = '' OR len(list_filter({strings(R.CONTEXT)}, lambda w: contains(question, w))) > 0 AS needs_context, len(list_filter({strings(R.SEVERAL)}, lambda w: contains(question, w))) > 0 OR len(regexp_extract_all({_HEAD}, '[A-D](?:[.．、:：]|$)')) > 1 AS rejected, length(question) >= 8 AND length(answer) >= 16 AND length({_HEAD}) >= 12 AS long_enough, lower(regexp_replace(question, '[^0-9A-Za-z_一-鿿]+', '', 'g')) AS compare FROM c",
+    "bank_rules": _ITEM + f", y AS (SELECT *, CASE WHEN id = 6 THEN 'case_analysis' ELSE {_TYPE} END AS type FROM t), c AS (SELECT *, list_filter(list_concat(list_concat([topic], refs[1:2]), list_concat([CASE type WHEN 'case_analysis' THEN '案例分析题' ELSE '简答题' END], list_filter({_TAGWORDS}, lambda w: contains(question || ' ' || answer, w)))), lambda x: x <> '') AS l FROM y) SELECT id, type, {_DIFF.format(q='question', a='answer')} AS difficulty, array_to_string(list_filter(l, lambda x, k: list_position(l, x) = k)[1:5], '|') AS tags, trim(question) = '' OR len(list_filter({strings(R.CONTEXT)}, lambda w: contains(question, w))) > 0 AS needs_context, len(list_filter({strings(R.SEVERAL)}, lambda w: contains(question, w))) > 0 OR len(regexp_extract_all({_HEAD}, '[A-D](?:[.．、:：]|$)')) > 1 AS rejected, length(question) >= 8 AND length(answer) >= 16 AND length({_HEAD}) >= 12 AS long_enough, lower(regexp_replace(question, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS compare FROM c",
     "difficulty_rules": f"WITH {_FAM} SELECT doc_id, family, difficulty, type FROM g",
     "question_type_rules": f"WITH {_FAM} SELECT family, type, difficulty, count(*)::BIGINT AS n FROM g GROUP BY family, type, difficulty",
     "topic_distribution": f"WITH s AS ({_SCORE}), b AS (SELECT greatest(alpha, beta, gamma) AS best, alpha + beta + gamma - greatest(alpha, beta, gamma) - least(alpha, beta, gamma) AS second, CASE WHEN alpha >= beta AND alpha >= gamma THEN 'alpha' WHEN beta >= gamma THEN 'beta' ELSE 'gamma' END AS topic FROM s) SELECT CASE WHEN best < 3 OR (best < 8 AND best - second < 2) THEN 'general' ELSE topic END AS topic, count(*)::BIGINT AS n FROM b GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ._inline import Inline
+from ._inline import Inline, Spread
 from .indexes import text_index
 
 
@@ -25,17 +25,16 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Lines of two statutes as paragraphs in order.
-LINES = Inline(
+LINES = Spread(
     "doc int, ord int, line string",
     [(1, i, x) for i, x in enumerate(("中华人民共和国测试法", "第一章 总则", "第一条 为了测试，制定本法。", "本条的第二段。", "第二条  本法适用于测试。", "第二章 责任", "第三条 违反第一条的，承担责任。", "附则"))]
-    + [(2, i, x) for i, x in enumerate(("第一编 分则", "第十二条 租赁合同。", "", "第十三条 押金。"))],
-)
+    + [(2, i, x) for i, x in enumerate(("第一编 分则", "第十二条 租赁合同。", "", "第十三条 押金。"))], ids=("doc",), texts=("line",))
 
 
 def article_units(spark: SparkSession, d: str) -> DataFrame:
     """Lines fall into units that start at an article's heading, within the section whose heading came last."""
     order = Window.partitionBy("doc").orderBy("ord")
-    own = LINES.df(spark).select("doc", "ord", T.clean_text(F.col("line")).alias("line")).filter("line <> ''").withColumn("article", T.article_heading(F.col("line"))).withColumn("section", T.section_heading(F.col("line")))
+    own = LINES.df(spark, d).select("doc", "ord", T.clean_text(F.col("line")).alias("line")).filter("line <> ''").withColumn("article", T.article_heading(F.col("line"))).withColumn("section", T.section_heading(F.col("line")))
     own = own.withColumn("unit", F.count("article").over(order)).withColumn("within", F.last("section", ignorenulls=True).over(order)).filter("section IS NULL AND unit > 0")
     return own.groupBy("doc", "unit").agg(F.max("article").alias("heading"), F.min_by("within", "ord").alias("section"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
-from ._inline import Inline
+from ._inline import Inline, Spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("item_id", F.round(T.token_f1(T.word_tokens(F.col("a")), T.word_tokens(F.col("b"))), 6).alias("f1"))
 
 
-ANSWERS = Inline(
+ANSWERS = Spread(
     "id int, answer string, gold string, refs array<string>, trace string, forced boolean, semantic double",
     [
         (1, "应当返还押金。", "应当 返还押金", ["《民法典》第七百零三条"], "Action: rag_search(x)\nObservation: ok\nFinal Answer: yes", False, 0.9),
@@ -32,12 +32,11 @@ ANSWERS = Inline(
         (4, "", "abc", None, "Action: a(x)\nObservation: ERROR here\nAction: b(y)\nObservation: fine\nFinal Answer: ok", True, 0.1),
         (5, "Yes, it does.", "yes it does", ["no marks"], "Observation: 失败", True, 0.5),
         (6, None, None, ["《立法法》"], "", None, None),
-    ],
-)
+    ], texts=("answer", "gold"))
 
 
 def answer_metrics(spark: SparkSession, d: str) -> DataFrame:
-    own = ANSWERS.df(spark).select("id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("gold", F.lit("")).alias("gold"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), "trace", F.coalesce("forced", F.lit(False)).alias("forced"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
+    own = ANSWERS.df(spark, d).select("id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("gold", F.lit("")).alias("gold"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), "trace", F.coalesce("forced", F.lit(False)).alias("forced"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
     own = own.select("id", "semantic", T.exact_match(F.col("answer"), F.col("gold")).alias("em"), T.token_f1(T.word_tokens(F.col("answer")), T.word_tokens(F.col("gold"))).alias("f1"), E.citation_hit_rate(F.col("answer"), F.col("refs")).alias("citation_hit_rate"), E.format_compliance(F.col("trace")).alias("format_compliance"), E.error_recovery(F.col("trace"), F.col("forced")).alias("error_recovery"))
     own = own.withColumn("answer_quality", E.answer_quality(F.col("em"), F.col("f1"), F.col("semantic")))
     own = own.withColumn("task_completion", E.task_completion(F.col("answer_quality"), F.col("semantic"), F.col("citation_hit_rate"))).withColumn("tool_use_accuracy", F.lit(None).cast("double"))
@@ -121,15 +120,14 @@ def support(spark: SparkSession, d: str) -> DataFrame:
     return own.withColumn("total", F.greatest(F.lit(1).cast("bigint"), "n_rows", "n_tool", "n_quality"))
 
 
-HITS = Inline(
+HITS = Spread(
     "query int, ord int, score double, overlap int",
-    [(1, 0, 0.95, 3), (1, 1, 0.9, 0), (1, 2, 0.5, 1), (1, 3, 0.17, 2), (1, 4, 0.2, 1), (2, 0, 0.7, 0), (2, 1, 0.1, 2), (2, 2, 0.13, 0), (3, 0, 0.79, 0), (3, 1, 0.79, 0), (3, 2, 0.72, 0)],
-)
+    [(1, 0, 0.95, 3), (1, 1, 0.9, 0), (1, 2, 0.5, 1), (1, 3, 0.17, 2), (1, 4, 0.2, 1), (2, 0, 0.7, 0), (2, 1, 0.1, 2), (2, 2, 0.13, 0), (3, 0, 0.79, 0), (3, 1, 0.79, 0), (3, 2, 0.72, 0)], ids=("query",))
 
 
 def hit_gates(spark: SparkSession, d: str) -> DataFrame:
     """Hits that bear on the question (three of a query) and statutes that do (two), in the order given."""
-    own = HITS.df(spark).withColumn("top", F.max("score").over(Window.partitionBy("query")))
+    own = HITS.df(spark, d).withColumn("top", F.max("score").over(Window.partitionBy("query")))
     answers = ((F.col("score") >= 0.18) & (F.col("overlap") >= 1)) | (F.col("score") >= F.greatest(F.lit(0.78), 0.92 * F.col("top")))
     statutes = (F.col("score") >= 0.12) | (F.col("overlap") >= 2)
     parts = [own.filter(gate).withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("ord"))).filter(F.col("rn") <= n).select("query", "ord", F.lit(name).alias("gate")) for name, gate, n in (("answer", answers, 3), ("statute", statutes, 2))]

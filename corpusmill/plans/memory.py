@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import memory as M
-from ._inline import Inline, strings
+from ..store import materialise
+from ._inline import Inline, Spread, strings
 
 TERMS = ("the", "thing", "der", "que", "ing", "und")
 
@@ -21,11 +22,12 @@ def memories(spark: SparkSession, d: str) -> DataFrame:
     words = T.word_tokens(F.col("text"))
     long_ = lambda n, k: F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= n))), 1, k)
     layer = F.when(F.col("role") == "system", "system").when(F.col("role") == "user", "long_term").when(F.col("turn") < 4, "semantic").otherwise("summary")
-    return _t(spark, d, "conversations").select(
+    made = _t(spark, d, "conversations").select(
         F.floor(F.col("conv_id") / 10).alias("user"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), layer.alias("layer"), F.col("role").alias("category"), F.col("conv_id").alias("session"),
         F.when(F.length("text") % 3 == 0, F.array(F.concat(F.lit("r"), (F.length("text") % 7).cast("string")))).otherwise(F.array().cast("array<string>")).alias("refs"), long_(9, 10).alias("tags"), long_(6, 12).alias("keywords"),
         (0.3 + (F.length("text") % 50) / 100.0).alias("importance"), (F.col("turn") % 4).alias("hits"), (F.col("turn") * 9 + F.col("conv_id") % 10).alias("age"), (F.col("turn") * 5).alias("idle"), words.alias("words"),
     )
+    return materialise(made, "memories")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -85,14 +87,15 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_memories(DRAFTS.df(spark))
 
 
-PROFILES = Inline(
+PROFILES = Spread(
     "user bigint, goals array<string>, weak array<string>, strong array<string>, preferences array<string>, notes array<string>",
     [(1, ["法考"], ["民诉", "刑诉"], [], ["style=short"], ["n1", "n2", "n3", "n4"]), (2, [], [], ["民法"], [], ["only"]), (3, [], [], [], [], [])],
+    ids=("user",),
 )
 
 
 def profile_rows(spark: SparkSession, d: str) -> DataFrame:
-    return M.profile_rows(PROFILES.df(spark))
+    return M.profile_rows(PROFILES.df(spark, d))
 
 
 def working_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import places as P
-from ._inline import Inline, strings
+from ..store import materialise
+from ._inline import Inline, Spread, strings
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,13 +19,12 @@ TREE = Inline(
     "code string, name string, parent string",
     [("43", "湖南省", None), ("4301", "长沙市", "43"), ("430102", "芙蓉区", "4301"), ("430105", "开福区", "4301"), ("4302", "株洲市", "43"), ("11", "北京市", None), ("1101", "市辖区", "11"), ("110101", "东城区", "1101"), ("45", "广西壮族自治区", None), ("4501", "南宁市", "45"), ("36", "江西省", None), ("3601", "开福市", "36"), ("9", "坏", None), ("99", "", None), ("8801", "孤市", "88")],
 )
-QUESTIONS = Inline("id int, text string", [(1, "长沙市芙蓉区的房东不退押金怎么办"), (2, "湖南与北京的规定"), (3, "开福区"), (4, "开福"), (5, "没有地名"), (6, ""), (7, "广西南宁和湖南株洲以及长沙开福区和北京市东城区")])
-LONGEST = 8
+QUESTIONS = Spread("id int, text string", [(1, "长沙市芙蓉区的房东不退押金怎么办"), (2, "湖南与北京的规定"), (3, "开福区"), (4, "开福"), (5, "没有地名"), (6, ""), (7, "广西南宁和湖南株洲以及长沙开福区和北京市东城区")], texts=("text",))
 
 
-def _mentions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    regions = P.flatten(TREE.df(spark))
-    return regions, P.mentions(QUESTIONS.df(spark), P.aliases(regions), "id", "text", LONGEST)
+def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    regions = materialise(P.flatten(TREE.df(spark)), "region-paths")
+    return regions, P.mentions(QUESTIONS.df(spark, d), P.aliases(regions), "id", "text")
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +36,12 @@ def region_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_match(spark: SparkSession, d: str) -> DataFrame:
-    regions, found = _mentions(spark)
+    regions, found = _mentions(spark, d)
     return P.deepest(found, regions, "id").select("id", "code", "rank")
 
 
 def alias_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    """Last words of part names that one brand alone has."""
+    """First words of part names that one brand alone has."""
     own = _t(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("name"), F.element_at(F.split("p_name", " "), 1).alias("short"), "p_brand", "p_size").groupBy("short", "p_size").agg(F.count("*").alias("n"), F.min("p_brand").alias("brand"))
     return own.filter("n = 1").select("short", "p_size", "brand")
 
@@ -60,7 +60,7 @@ ASKED = ((1,), (2, 7))
 def region_relation(spark: SparkSession, d: str) -> DataFrame:
     """Of each customer the best relation of its path (region, nation, itself) to those asked for; every third customer is known by its nation only."""
     nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    own = _t(spark, d, "customer").join(F.broadcast(nation), "c_nationkey")  # nations are few, by definition
+    own = _t(spark, d, "customer").join(nation, "c_nationkey")
     text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     path = F.array_compact(F.array(text("R", "n_regionkey"), F.when(F.col("c_custkey") % 5 != 0, text("N", "c_nationkey")), F.when((F.col("c_custkey") % 3 != 0) & (F.col("c_custkey") % 5 != 0), text("C", "c_custkey"))))
     asked = [F.array(*(F.lit(f"{k}{v}") for k, v in zip("RN", a))) for a in ASKED]
@@ -68,20 +68,21 @@ def region_relation(spark: SparkSession, d: str) -> DataFrame:
     return own.select("c_custkey", F.get(F.array(*map(F.lit, P.RELATIONS)), best).alias("relation"))
 
 
-RULES = Inline(
+RULES = Spread(
     "id int, title string, category string, region string",
-    [(1, "宪法", "宪法", None), (2, "湖南省条例", "地方性法规", "43"), (3, "长沙市办法", "地方法规", "4301"), (4, "无地条例", "地方性法规", None), (5, "芙蓉区规定", "nan", "430102"), (6, "解释", " 司法解释 ", None), (7, "北京办法", "行政法规", "11"), (8, "其他", None, None)],
-)
+    [(1, "宪法", "宪法", None), (2, "湖南省条例", "地方性法规", "43"), (3, "长沙市办法", "地方法规", "4301"), (4, "无地条例", "地方性法规", None), (5, "芙蓉区规定", "nan", "430102"), (6, "解释", " 司法解释 ", None), (7, "北京办法", "行政法规", "11"), (8, "其他", None, None)], )
 
 
 def jurisdictions(spark: SparkSession, d: str) -> DataFrame:
     scope = P.jurisdiction(F.col("category"), F.col("region"))
     level = P.effect_level(F.coalesce("category", F.lit("")))
-    return RULES.df(spark).select("id", level.alias("level"), P.effect_rank(level).alias("rank"), scope.alias("scope"), P._of(scope, P.JURISDICTION, 0).alias("scope_rank"))
+    return RULES.df(spark, d).select("id", level.alias("level"), P.effect_rank(level).alias("rank"), scope.alias("scope"), P._of(scope, P.JURISDICTION, 0).alias("scope_rank"))
 
 
 CATALOG = Inline("title string, category string", [("《中华人民共和国民法典》", "法律"), ("中华人民共和国刑法", "法律"), ("湖南省实施办法", "地方性法规"), ("最高人民法院关于审理买卖合同纠纷案件适用法律问题的解释", "司法解释"), ("不存在的法", None), ("  ", "法律")])
 FILES = Inline("title string, version string, path string", [("中华人民共和国民法典", "20200528", "a_20200528.docx"), ("中华人民共和国民法典", "20210101", "a_20210101.docx"), ("中华人民共和国刑法", None, "b.docx"), ("最高人民法院关于审理买卖合同纠纷案件适用法律问题解释", "20210101", "c_20210101.docx"), ("无目录的法", None, "d.docx"), ("湖南省实施细则", None, "e.docx")])
+#: The same over the documents, each under a path of its own.
+VERSIONS = Spread(FILES.schema, FILES.rows, ids=(), texts=("path",))
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +90,7 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest_versions(FILES.df(spark))
+    return P.latest_versions(VERSIONS.df(spark, d))
 
 
 #: The same by hand: one title lacks a character of a listed one and is taken for it, and is listed itself as well.
@@ -100,7 +101,7 @@ _MANIFEST = [
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
-    own = FILES.df(spark).select(F.col("path"), F.concat(F.lit("《"), "title", F.lit("》_20200101")).alias("raw"), "title")
+    own = VERSIONS.df(spark, d).select(F.col("path"), F.concat(F.lit("《"), "title", F.lit("》_20200101")).alias("raw"), "title")
     return own.select("path", T.normalize_title(F.col("raw")).alias("marked"), F.array_join(T.title_aliases(F.col("title")), "|").alias("aliases"), F.array_join(T.cross_references(F.concat(F.lit("见《"), "title", F.lit("》和《民法典》及《"), "title", F.lit("》")), ), "|").alias("refs"))
 
 
@@ -122,6 +123,6 @@ SQL = {
     "region_relation": "WITH p AS (SELECT c_custkey, n_regionkey AS r, n_nationkey AS n, CASE WHEN c_custkey % 5 = 0 THEN 1 WHEN c_custkey % 3 = 0 THEN 2 ELSE 3 END AS depth FROM customer JOIN nation ON n_nationkey = c_nationkey), x AS (SELECT c_custkey, greatest(CASE WHEN r <> 1 THEN 0 WHEN depth = 1 THEN 3 ELSE 1 END, CASE WHEN depth = 1 AND r = 2 THEN 2 WHEN depth = 2 AND n = 7 THEN 3 WHEN depth = 3 AND n = 7 THEN 1 ELSE 0 END) AS best FROM p) SELECT c_custkey, ['none', 'descendant', 'ancestor', 'exact'][best + 1] AS relation FROM x",
     "jurisdictions": f"WITH r AS (SELECT *, trim(coalesce(category, '')) AS c FROM {RULES.sql}), l AS (SELECT id, CASE " + " ".join(f"WHEN c = '{k}' THEN '{v}'" for k, v in P.EFFECT.items()) + f" ELSE '未知' END AS level, CASE WHEN NOT (list_contains({strings(P.LOCAL)}, c) OR (region IS NOT NULL AND c IN ('', 'nan', 'none'))) THEN 'national' WHEN region IS NULL THEN 'local_unknown' WHEN length(region) = 2 THEN 'province' WHEN length(region) = 4 THEN 'prefecture' ELSE 'county' END AS scope FROM r) SELECT id, level, CASE level WHEN '宪法' THEN 4 WHEN '法律' THEN 3 WHEN '法规' THEN 2 WHEN '司法解释' THEN 1 ELSE 0 END AS rank, scope, CASE scope WHEN 'national' THEN 4 WHEN 'province' THEN 3 WHEN 'prefecture' THEN 2 WHEN 'county' THEN 1 ELSE 0 END AS scope_rank FROM l",
     "manifest_titles": "SELECT * FROM " + Inline("key string, effect_level string, effect_rank int, status string, path string, version string", _MANIFEST).sql,
-    "latest_version": f"SELECT title AS key, arg_max(path, coalesce(version, '') || path) AS path, max(version) AS version FROM {FILES.sql} GROUP BY title",
-    "title_aliases": f"SELECT path, title AS marked, {_ALIAS} AS aliases, CASE WHEN title = '民法典' THEN title ELSE title || '|民法典' END AS refs FROM {FILES.sql}",
+    "latest_version": f"SELECT title AS key, arg_max(path, coalesce(version, '') || path) AS path, max(version) AS version FROM {VERSIONS.sql} GROUP BY title",
+    "title_aliases": f"SELECT path, title AS marked, {_ALIAS} AS aliases, CASE WHEN title = '民法典' THEN title ELSE title || '|民法典' END AS refs FROM {VERSIONS.sql}",
 }

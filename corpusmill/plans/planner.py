@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import requests as Q
 from ..functions import text as T
-from ._inline import Inline, strings
+from ._inline import Inline, Spread, strings
 
 LEGAL, GENERAL = ("法", "合同", "押金", "犯罪", "诉讼"), ("天气", "你好", "电影")
-MESSAGES = Inline(
+MESSAGES = Spread(
     "id int, text string, active boolean, weak array<string>",
     [
         (1, "给我出题，来10题民法真题", False, []), (2, "生成学习报告", False, ["刑诉"]), (3, "1. A\n2. B", True, []), (4, "1. A", False, []), (5, "我叫小明，我在备考", False, []), (6, "赔偿 3000 元是多少", False, []), (7, "押金不退怎么办", False, ["民诉"]), (8, "今天天气如何", False, []),
         (9, "算了", True, []), (10, "", False, []), (11, "随便", False, []), (12, "查看画像并总结", False, []), (13, "来三道题 复习 盗窃 案例", False, []), (14, "我选 B", True, []), (15, "记住我的薄弱点，出题", False, []), (16, "请给99 题 押题 简答", False, []), (17, "停 一下", False, []), (18, "出 25 道 题，第三章专项", False, []), (19, "测试后的诊断报告", False, []),
-    ],
-)
+    ], texts=("text",))
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,35 +23,43 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def intents(spark: SparkSession, d: str) -> DataFrame:
-    return MESSAGES.df(spark).select("id", Q.intent(F.col("text"), F.col("active"), LEGAL, GENERAL).alias("i")).select("id", "i.intent", "i.score")
+    return MESSAGES.df(spark, d).select("id", Q.intent(F.col("text"), F.col("active"), LEGAL, GENERAL).alias("i")).select("id", "i.intent", "i.score")
 
 
 def slots(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("text")
-    return MESSAGES.df(spark).select("id", Q.topic(q, F.col("weak")).alias("topic"), Q.question_count(q).alias("n"), Q.exam_type(q).alias("exam_type"), Q.question_types(q).alias("types"), Q.report_type(q).alias("report_type"))
+    return MESSAGES.df(spark, d).select("id", Q.topic(q, F.col("weak")).alias("topic"), Q.question_count(q).alias("n"), Q.exam_type(q).alias("exam_type"), Q.question_types(q).alias("types"), Q.report_type(q).alias("report_type"))
 
 
 def predicates(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("text")
-    return MESSAGES.df(spark).select("id", Q.is_stop(q).alias("stop"), Q.is_sheet(q).alias("sheet"), Q.is_followup(q).alias("followup"), Q.is_calculation(q).alias("calculation"), T.contains_any(q, Q.REPORT_REQUEST).alias("report"), T.contains_any(q, Q.EXAM_REQUEST).alias("exam"))
+    return MESSAGES.df(spark, d).select("id", Q.is_stop(q).alias("stop"), Q.is_sheet(q).alias("sheet"), Q.is_followup(q).alias("followup"), Q.is_calculation(q).alias("calculation"), T.contains_any(q, Q.REPORT_REQUEST).alias("report"), T.contains_any(q, Q.EXAM_REQUEST).alias("exam"))
 
 
-STEPS = Inline(
-    "id int, text string",
-    [(1, "Thought: look\nAction: rag_search(query=\"x (y)\")"), (2, "Action: calculator(1+1)\nFinal Answer: 2"), (3, "Final Answer: done\nAction: rag_search(x)"), (4, "Thought: nothing"), (5, "```\nFinal Answer: a\nb\n```"), (6, "Action: broken(x"), (7, "")],
-)
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as steps of an agent: an action with the text in it, one before or after an answer, thoughts alone, an answer in a fence, and an action that isn't closed."""
+    own = _t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("x"), F.rtrim(F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-zÀ-ÿ ]", ""))).alias("p"), ((F.col("conv_id") * 7 + F.col("turn")) % 6).alias("k"))
+    forms = ("Thought: {p}\nAction: rag_search(query=\"{p} (y)\")", "Action: calculator(1+2)\nFinal Answer: {p}", "Final Answer: {p}\nAction: rag_search(x)", "Thought: {p}", "```\nFinal Answer: {p}\nb\n```", "Action: broken({p}")
+    filled = [F.replace(F.lit(f), F.lit("{p}"), F.col("p")) for f in forms]
+    return own.select("conv_id", "turn", F.get(F.array(*filled), F.col("k").cast("int")).alias("text"))
 
 
 def react(spark: SparkSession, d: str) -> DataFrame:
-    return STEPS.df(spark).select("id", Q.react_step(F.col("text")).alias("s")).select("id", "s.*")
-
-
-SUMS = Inline("id int, expression string", [(1, "1+2*3"), (2, "(12.35-0.35)/4"), (3, "3万+2百"), (4, "1,000 元 * 5%"), (5, "10 % 3"), (6, "__import__('os')"), (7, "1/0"), (8, ""), (9, "2**10"), (10, "9**9**9"), (11, "round(10/4, 1)"), (12, "-（2＋3）"), (13, "-（2+3）"), (14, "max(1, 2.5)"), (15, None)])
-_SUMS = [(1, 7.0), (2, 3.0), (3, 30200.0), (4, 50.0), (5, 1.0), (6, None), (7, None), (8, None), (9, 1024.0), (10, None), (11, 2.5), (12, None), (13, -5.0), (14, 2.5), (15, None)]
+    return steps(spark, d).select("conv_id", "turn", Q.react_step(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
 
 
 def calculator(spark: SparkSession, d: str) -> DataFrame:
-    return SUMS.df(spark).select("id", Q.calculator(F.col("expression")).alias("value"))
+    """Sums over the lines of orders, written in ten ways."""
+    text = lambda c: F.col(c).cast("bigint").cast("string")
+    own = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text("l_quantity").alias("q"), text("l_extendedprice").alias("p"), F.round(F.col("l_discount") * 100).cast("bigint").cast("string").alias("r"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0").alias("t"))
+    forms = ("{q}x{p}元", "-（{q}＋{p}）", "{r}％ * {p}", "{q}^2", "{q}倍*2块钱", "{q}万+{r}百", "min({q}, {p})", "{q} % 3", "1，{t}。5－{q}", "{q}//7 ＋ 10÷4")
+    filled = []
+    for f in forms:
+        c = F.lit(f)
+        for name in "qprt":
+            c = F.replace(c, F.lit("{" + name + "}"), F.col(name))
+        filled.append(c)
+    return own.select("l_orderkey", "l_linenumber", Q.calculator(F.get(F.array(*filled), (F.col("l_orderkey") % len(forms)).cast("int"))).alias("value"))
 
 
 def routing(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +102,11 @@ SQL = {
     "intent_scores": f"WITH {_B}, f AS (SELECT id, CASE WHEN x = '' THEN struct_pack(s := 0e0, o := 0, i := 'legal_qa') WHEN stop THEN struct_pack(s := 0.95e0, o := 0, i := 'stop') ELSE coalesce(list_max(list_filter({_FITS}, lambda y: y IS NOT NULL)), {_OTHER}) END AS b FROM p) SELECT id, b.i AS intent, b.s AS score FROM f",
     "exam_slots": f"WITH {_B} SELECT id, {_TOPIC} AS topic, {_COUNT}::INT AS n, {_KIND} AS exam_type, CASE WHEN {_any('x', ('简答', '主观', '问答'))} THEN 'short_answer' WHEN contains(x, '案例') THEN 'case_analysis' ELSE 'single_choice,short_answer,case_analysis' END AS types, CASE WHEN {_any('lower(text)', ('诊断', '薄弱'))} THEN 'weakness_diagnosis' WHEN {_any('lower(text)', ('测试', 'exam', 'mock'))} THEN 'mock_exam_review' ELSE 'study_progress' END AS report_type FROM b",
     "request_predicates": f"WITH {_B} SELECT id, stop, regexp_matches(text, '{_LINE}') OR {_any('text', ('我的答案', '提交答案'))} AS sheet, followup, regexp_matches(text, '[0-9]') AND (regexp_matches(text, '[+\\-*/%()]') OR {_any('text', Q.CALCULATE)}) AS calculation, {_any('text', Q.REPORT_REQUEST)} AS report, {_any('text', Q.EXAM_REQUEST)} AS exam FROM p",
-    "react_parse": "SELECT * FROM " + Inline("id int, kind string, tool string, args string, answer string", [(1, "tool", "rag_search", 'query="x (y)"', None), (2, "tool", "calculator", "1+1", None), (3, "final", None, None, "done\nAction: rag_search(x)"), (4, "invalid", None, None, None), (5, "final", None, None, "a\nb"), (6, "invalid", None, None, None), (7, "invalid", None, None, None)]).sql,
-    "calculator": "SELECT * FROM " + Inline("id int, value double", _SUMS).sql,
+    "react_parse": """WITH m AS (SELECT conv_id, turn, 'x' || rtrim(regexp_replace(substring(text, 1, 20), '[^A-Za-zÀ-ÿ ]', '', 'g')) AS p, (conv_id * 7 + turn) % 6 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k IN (0, 1) THEN 'tool' WHEN k IN (2, 4) THEN 'final' ELSE 'invalid' END AS kind, CASE k WHEN 0 THEN 'rag_search' WHEN 1 THEN 'calculator' END AS tool,
+CASE k WHEN 0 THEN 'query="' || p || ' (y)"' WHEN 1 THEN '1+2' END AS args, CASE k WHEN 2 THEN p || chr(10) || 'Action: rag_search(x)' WHEN 4 THEN p || chr(10) || 'b' END AS answer FROM m""",
+    "calculator": """WITH l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 10 AS k, trunc(l_quantity)::DOUBLE AS q, trunc(l_extendedprice)::DOUBLE AS p, round(l_discount * 100)::DOUBLE AS r, (l_orderkey % 1000)::DOUBLE AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN q * p WHEN 1 THEN -(q + p) WHEN 2 THEN r / 100e0 * p WHEN 3 THEN q * q WHEN 4 THEN q * 2 WHEN 5 THEN q * 10000 + r * 100 WHEN 6 THEN least(q, p) WHEN 8 THEN 1000 + t + 0.5e0 - q WHEN 9 THEN floor(q / 7) + 2.5e0 END AS value FROM l""",
     "agent_intent": "WITH t AS (SELECT conv_id, list(DISTINCT CASE WHEN role = 'system' THEN 'profile_view' WHEN role = 'user' THEN 'calculator' WHEN length(text) % 2 = 0 THEN 'rag_search' ELSE 'none' END) AS tools, arg_max(role, turn) AS last FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN last = 'user' THEN 'clarification' " + " ".join(f"WHEN list_contains(tools, '{t}') THEN '{i}'" for t, i in Q.TOOL_INTENTS) + " ELSE 'legal_qa' END AS intent FROM t",
     "repeated_calls": "WITH c AS (SELECT conv_id, turn, role, md5(text) AS s, list_distinct(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS w FROM conversations), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, s ORDER BY turn) > 1 AS again, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c) SELECT conv_id, turn, again, coalesce(len(list_intersect(w, p))::DOUBLE / greatest(len(list_distinct(list_concat(w, p))), 1) >= 0.55e0, false) AS alike FROM d",
 }
