@@ -87,3 +87,28 @@ class Spread(Inline):
         columns = ", ".join(f'{value(i, c)} AS "{c}"' for i, c in enumerate(names))
         own = f"(SELECT {self.key} % {n} AS k, {self.key} // {n} AS round, substring(coalesce({self.text}, ''), ({self.key} % 97 + 1)::INT, 12) AS piece FROM {self.table} WHERE {self.key} IS NOT NULL)"
         return f"(SELECT {columns} FROM {own} t JOIN {bank} v ON v.k = t.k)"
+
+
+@dataclass
+class Every(Inline):
+    """All of ``rows`` for each row of a given table, whose key makes the numbers in columns ``ids`` its own: a group of rows is worked on as often as the table has rows."""
+
+    ids: tuple[str, ...] = ("id",)
+    table: str = "supplier"
+    key: str = "s_suppkey"
+
+    def df(self, spark: SparkSession, d: str) -> DataFrame:  # type: ignore[override]
+        kinds = ", ".join(f"_c{i} {x.split()[1]}" for i, x in enumerate(self.schema.split(",")))
+        names = [x.split()[0] for x in self.schema.split(",")]
+        own = spark.read.parquet(f"{d}/{self.table}.parquet").filter(F.col(self.key).isNotNull()).select((F.col(self.key).cast("bigint") * ROUND).alias("_at"))
+        bank = F.array(*(F.struct(*(F.lit(x).cast(k.split()[1]).alias(k.split()[0]) for x, k in zip(r, kinds.split(", ")))) for r in self.rows))
+        each = own.select("_at", F.inline(bank))
+        return each.select(*((F.col("_at") + F.col(f"_c{i}")).cast("bigint").alias(c) if c in self.ids else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+
+    def results(self, schema: str, rows: list[tuple]) -> str:
+        """What ``rows`` are expected to give, for each row of the table."""
+        names = [x.split()[0] for x in schema.split(",")]
+        columns = ", ".join(f'({self.key} * {ROUND} + v."{c}")::BIGINT AS "{c}"' if c in self.ids else f'v."{c}"' for c in names)
+        quoted = ", ".join(f'{c} AS "{names[i]}"' for i, c in enumerate(f"c{i}::{_TYPES[x.split()[1]]}" for i, x in enumerate(schema.split(","))))
+        values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+        return f"SELECT {columns} FROM {self.table}, (SELECT {quoted} FROM (VALUES {values}) x({', '.join(f'c{i}' for i in range(len(names)))})) v WHERE {self.key} IS NOT NULL"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ._inline import Inline, Spread, strings
+from ._inline import Every, Inline, Spread, strings
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -70,19 +70,18 @@ def topic_distribution(spark: SparkSession, d: str) -> DataFrame:
     return own.select(F.when(weak, "general").otherwise(F.col("s")[0]["topic"]).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-SHEETS = Inline(
+SHEETS = Every(
     "id int, sheet string",
-    [(1, "1.A 2.b 3 C"), (2, "第1题：押金应当返还\n第2题：不构成犯罪\n仍需补偿"), (3, "1、B\n2、D"), (4, "没有答案"), (5, ""), (6, "1.A 1.C"), (7, None), (8, "12) d")],
-)
+    [(1, "1.A 2.b 3 C"), (2, "第1题：押金应当返还\n第2题：不构成犯罪\n仍需补偿"), (3, "1、B\n2、D"), (4, "没有答案"), (5, ""), (6, "1.A 1.C"), (7, None), (8, "12) d")], ids=('id',))
 #: What a sheet reads as, by hand: DuckDB's expressions know no look-behind.
 _READ = [(1, "1", "A"), (1, "2", "B"), (1, "3", "C"), (2, "1", "押金应当返还"), (2, "2", "不构成犯罪\n仍需补偿"), (3, "1", "B"), (3, "2", "D"), (6, "1", "C"), (8, "12", "D")]
 
 
 def answer_sheets(spark: SparkSession, d: str) -> DataFrame:
-    return SHEETS.df(spark).select("id", F.explode(R.answer_sheet(F.col("sheet"))).alias("number", "answer"))
+    return SHEETS.df(spark, d).select("id", F.explode(R.answer_sheet(F.col("sheet"))).alias("number", "answer"))
 
 
-EXAM = Inline(
+EXAM = Every(
     "user int, number int, type string, options array<string>, gold string, answer string, tags array<string>, score int",
     [
         (1, 1, "single_choice", ["甲", "乙", "丙", "丁"], "B", "b", ["民法", "押金"], 20),
@@ -92,12 +91,11 @@ EXAM = Inline(
         (1, 5, "case_analysis", None, "构成盗窃罪；依法从轻处罚。", "", ["刑法", "量刑"], 30),
         (2, 1, "single_choice", ["甲", "乙", "丙", "丁"], "D", None, ["商经"], 20),
         (2, 2, "short_answer", None, "法不溯及既往原则。", "法不溯及既往原则", ["理论法"], 20),
-    ],
-)
+    ], ids=('user',))
 
 
-def graded(spark: SparkSession) -> DataFrame:
-    own = EXAM.df(spark)
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    own = EXAM.df(spark, d)
     choice = F.col("type") == "single_choice"
     given = R.normalize_choice(F.col("answer"), F.col("options"))
     ratio = F.when(choice, F.when(given == F.col("gold"), 1.0).otherwise(0.0)).otherwise(F.when(F.coalesce(F.trim("answer"), F.lit("")) == "", 0.0).otherwise(R.subjective_ratio(F.coalesce("answer", F.lit("")), F.col("gold"))))
@@ -107,7 +105,7 @@ def graded(spark: SparkSession) -> DataFrame:
 
 
 def exam_grades(spark: SparkSession, d: str) -> DataFrame:
-    return graded(spark).select("user", "number", "level", "earned")
+    return graded(spark, d).select("user", "number", "level", "earned")
 
 
 def exam_rollup(own: DataFrame, user: str = "user") -> DataFrame:
@@ -119,7 +117,7 @@ def exam_rollup(own: DataFrame, user: str = "user") -> DataFrame:
 
 
 def weak_strong(spark: SparkSession, d: str) -> DataFrame:
-    return exam_rollup(graded(spark)).withColumn("weak", F.array_join("weak", "|")).withColumn("strong", F.array_join("strong", "|"))
+    return exam_rollup(graded(spark, d)).withColumn("weak", F.array_join("weak", "|")).withColumn("strong", F.array_join("strong", "|"))
 
 
 #: The same by hand: user, earned, total, mastered, review, incorrect, unanswered, weak, strong, percent.
@@ -136,7 +134,7 @@ def wrong_questions(spark: SparkSession, d: str) -> DataFrame:
     return bank.withColumn("rn", rn).filter("rn <= 10").select("user_id", "event_type", "fail_count", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
-RECORDS = Inline(
+RECORDS = Every(
     "id int, title string, type string, options array<string>, answer string, reference string, primary_topic string, tags array<string>",
     [
         (1, "租赁合同的押金如何处理？", "single_choice", ["甲", "乙", "丙", "丁"], "a", "", "民法典", ["押金"]),
@@ -147,8 +145,7 @@ RECORDS = Inline(
         (6, "盗窃如何量刑？", "case_analysis", None, "", "三年以下", "综合", ["刑法", "法理"]),
         (7, "选一项", "single_choice", ["甲", "乙", "丙", None], "A", "", "刑法", []),
         (8, "选一项？", "single_choice", ["甲", "乙", "丙", "丁"], "E", "", "刑法", []),
-    ],
-)
+    ], ids=('id',))
 
 
 def usable(own: DataFrame) -> DataFrame:
@@ -158,7 +155,7 @@ def usable(own: DataFrame) -> DataFrame:
 
 def exam_pool(spark: SparkSession, d: str) -> DataFrame:
     """Usable questions and how well they match each of two topics: 2 by their own topic, 1 by a tag."""
-    own = usable(RECORDS.df(spark))
+    own = usable(RECORDS.df(spark, d))
     return own.select("id", "type", R.topic_name(F.col("primary_topic")).alias("topic"), *(R.topic_quality(F.col("primary_topic"), F.col("tags"), F.lit(t)).alias(n) for t, n in (("刑法", "criminal"), ("理论法", "theory"))))
 
 
@@ -212,11 +209,11 @@ SQL = {
     "difficulty_rules": f"WITH {_FAM} SELECT doc_id, family, difficulty, type FROM g",
     "question_type_rules": f"WITH {_FAM} SELECT family, type, difficulty, count(*)::BIGINT AS n FROM g GROUP BY family, type, difficulty",
     "topic_distribution": f"WITH s AS ({_SCORE}), b AS (SELECT greatest(alpha, beta, gamma) AS best, alpha + beta + gamma - greatest(alpha, beta, gamma) - least(alpha, beta, gamma) AS second, CASE WHEN alpha >= beta AND alpha >= gamma THEN 'alpha' WHEN beta >= gamma THEN 'beta' ELSE 'gamma' END AS topic FROM s) SELECT CASE WHEN best < 3 OR (best < 8 AND best - second < 2) THEN 'general' ELSE topic END AS topic, count(*)::BIGINT AS n FROM b GROUP BY 1",
-    "answer_sheet_parse": "SELECT * FROM " + Inline("id int, number string, answer string", _READ).sql,
-    "exam_grades": "SELECT * FROM " + Inline("user int, number int, level string, earned int", [(1, 1, "mastered", 20), (1, 2, "incorrect", 0), (1, 3, "mastered", 20), (1, 4, "review", 14), (1, 5, "unanswered", 0), (2, 1, "unanswered", 0), (2, 2, "mastered", 20)]).sql.replace("AS user", 'AS "user"'),
-    "weak_strong_tags": "SELECT * FROM " + Inline("user int, earned bigint, total bigint, mastered bigint, review bigint, incorrect bigint, unanswered bigint, weak string, strong string, percent double", _ROLLED).sql.replace("AS user", 'AS "user"'),
+    "answer_sheet_parse": SHEETS.results("id int, number string, answer string", _READ),
+    "exam_grades": EXAM.results("user int, number int, level string, earned int", [(1, 1, "mastered", 20), (1, 2, "incorrect", 0), (1, 3, "mastered", 20), (1, 4, "review", 14), (1, 5, "unanswered", 0), (2, 1, "unanswered", 0), (2, 2, "mastered", 20)]),
+    "weak_strong_tags": EXAM.results("user int, earned bigint, total bigint, mastered bigint, review bigint, incorrect bigint, unanswered bigint, weak string, strong string, percent double", _ROLLED),
     "wrong_question_upsert": "WITH o AS (SELECT user_id, event_type, max(struct_pack(a := ts, b := event_id)) AS ok FROM events WHERE value >= 40 GROUP BY ALL), l AS (SELECT e.user_id, e.event_type, ts FROM events e LEFT JOIN o USING (user_id, event_type) WHERE value < 40 AND (ok IS NULL OR struct_pack(a := ts, b := event_id) > ok)), b AS (SELECT user_id, event_type, count(*)::BIGINT AS fail_count, max(ts) AS last FROM l GROUP BY ALL) SELECT user_id, event_type, fail_count, strftime(last, '%Y-%m-%d %H:%M:%S') AS last FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY b.last DESC, event_type) <= 10",
-    "exam_pool": "SELECT * FROM " + Inline("id int, type string, topic string, criminal int, theory int", [(1, "single_choice", "民法", 0, 0), (4, "short_answer", "行政法", 1, 0), (6, "case_analysis", "综合", 1, 1)]).sql,
+    "exam_pool": RECORDS.results("id int, type string, topic string, criminal int, theory int", [(1, "single_choice", "民法", 0, 0), (4, "short_answer", "行政法", 1, 0), (6, "case_analysis", "综合", 1, 1)]),
     "exam_sample": "WITH p AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 3 WHEN p_size < 10 THEN 0 WHEN p_size < 25 THEN 1 ELSE 2 END AS stage, round(-ln((('0x' || substring(md5(p_partkey::VARCHAR || ':exam'), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297e0) / greatest(0.01e0, p_retailprice / 1000e0), 9) AS draw FROM part) SELECT p_brand, p_partkey, stage::INT AS stage, row_number() OVER (PARTITION BY p_brand ORDER BY stage, draw, p_partkey)::INT AS rank FROM p QUALIFY rank <= 5",
     "seed_split": "WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5('seed:' || p_partkey::VARCHAR)) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, CASE WHEN rn <= floor(n * 0.75e0) THEN 'train' ELSE 'eval' END AS part, count(*)::BIGINT AS n, min(p_partkey) AS first FROM p GROUP BY 1, 2",
 }

@@ -9,14 +9,14 @@ from ..functions import candidates as C
 from ..functions import seeds as S
 from ..functions import text as T
 from ..operators import lookup as L
-from ._inline import Inline
+from ._inline import Every, Inline
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-ROWS = Inline(
+ROWS = Every(
     "id int, family string, instruction string, answer string",
     [
         (1, "exam", "以下是一道单选题： 下列说法正确的是？A.甲 B.乙、 C．丙。 D、丁 请给出答案和解析。", "答案：B 解析：甲错误。"),
@@ -28,8 +28,7 @@ ROWS = Inline(
         (7, "sent_pred", "", ""),
         (8, "exam", "以下哪一属于保管？A.租赁 B.买卖 C.借款 D.保管", "本题考查保管"),
         (9, "exam", None, None),
-    ],
-)
+    ], ids=('id',))
 #: By hand: type, question, label, options, answer summary, analysis.
 _READ = [
     (1, "choice", "下列说法正确的是？", "B", ["甲", "乙、", "丙", "丁"], "B", "甲错误。"),
@@ -46,7 +45,7 @@ _READ = [
 
 def candidate_questions(spark: SparkSession, d: str) -> DataFrame:
     """Question, options and answer of instruction rows. A row is a choice where its options, stem and answer's label can be read."""
-    own = ROWS.df(spark).withColumn("text", C.extract_question(F.col("instruction"), F.col("family"))).withColumn("parts", C.choice_parts(F.col("text")))
+    own = ROWS.df(spark, d).withColumn("text", C.extract_question(F.col("instruction"), F.col("family"))).withColumn("parts", C.choice_parts(F.col("text")))
     options, stem = F.slice("parts", 2, 4), F.get("parts", F.lit(0))
     own = own.withColumn("label", F.when(F.col("parts").isNotNull() & C.is_stem(stem), C.answer_label(F.col("answer"), options)))
     choice = F.col("label").isNotNull()
@@ -119,7 +118,7 @@ _FLAT = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '',
 _NONE = "list_value()::VARCHAR[]"
 _BUCKETED = "o AS (SELECT doc_id, concat(coalesce(source, 'none'), '::', coalesce(lang, 'none')) AS bucket FROM documents)"
 SQL = {
-    "candidate_questions": "SELECT * FROM " + Inline("id int, kind string, question string, label string, options array<string>, summary string, analysis string", _READ).sql,
+    "candidate_questions": ROWS.results("id int, kind string, question string, label string, options array<string>, summary string, analysis string", _READ),
     "seed_rules": f"""WITH {_SEEDED}, w AS (SELECT *, CASE WHEN family = 'jud_doc_sum' THEN 'direct_answer' WHEN ref IS NOT NULL THEN 'lookup_then_retrieve' ELSE 'retrieve_then_answer' END AS strategy, {_FLAT} AS flat FROM s),
  q AS (SELECT *, CASE WHEN length(flat) <= 260 THEN flat ELSE regexp_replace(left(flat, 259), '[ ，,；;：:]+$', '') || '…' END AS head FROM w)
  SELECT doc_id, strategy, CASE strategy WHEN 'direct_answer' THEN '' WHEN 'lookup_then_retrieve' THEN 'lookup_statute|retrieve_from_kb' ELSE 'retrieve_from_kb' END AS tools,

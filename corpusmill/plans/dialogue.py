@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialogue as D
-from ._inline import Inline, strings
+from ._inline import Every, Inline, strings
 
-TURNS = Inline(
+TURNS = Every(
     "id int, role string, question string",
     [
         (1, "supplement", "原始法律问题：押金能退吗\n已补充事实：\n- 租期是多少：2年\n- 金额是3000元\n\n- 地址:"),
@@ -19,8 +19,7 @@ TURNS = Inline(
         (6, "supplement", ""),
         (7, None, None),
         (8, "supplement", "已补充事实：\n所在地：长沙"),
-    ],
-)
+    ], ids=('id',))
 #: By hand: first question, prompts and answers, whether the turn is a meaningful answer, numbers.
 _FACTS = [
     (1, "押金能退吗", "租期是多少=2年|=金额是3000元|=地址:", True, 2),
@@ -32,10 +31,9 @@ _FACTS = [
     (7, "", "", False, 0),
     (8, "已补充事实：\n所在地：长沙", "=所在地：长沙", True, 0),
 ]
-CLARIFICATIONS = Inline(
+CLARIFICATIONS = Every(
     "id int, question string",
-    [(1, "是否已经签订合同"), (2, '{"question": "合同金额是多少"}'), (3, "question: “何时到期”"), (4, ""), (5, None), (6, "提供收据\n\n 和发票 "), (7, "question=哪一方违约, field_name=party"), (8, "确认完毕！"), (9, "{金额}")],
-)
+    [(1, "是否已经签订合同"), (2, '{"question": "合同金额是多少"}'), (3, "question: “何时到期”"), (4, ""), (5, None), (6, "提供收据\n\n 和发票 "), (7, "question=哪一方违约, field_name=party"), (8, "确认完毕！"), (9, "{金额}")], ids=('id',))
 _CLARIFIED = [(1, "是否已经签订合同？"), (2, "合同金额是多少。"), (3, "何时到期？"), (4, D.DEFAULT_CLARIFICATION), (5, D.DEFAULT_CLARIFICATION), (6, "提供收据\n和发票。"), (7, "哪一方违约？"), (8, "确认完毕！"), (9, "金额。")]
 
 
@@ -46,11 +44,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def supplied(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("question")
     pairs = F.array_join(F.transform(D.supplied_facts(q), lambda p: F.concat(p["prompt"], F.lit("="), p["answer"])), "|")
-    return TURNS.df(spark).select("id", D.root_question(q).alias("root"), pairs.alias("pairs"), D.meaningful_answer(F.col("role"), q).alias("meaningful"), D.number_count(q).alias("numbers"))
+    return TURNS.df(spark, d).select("id", D.root_question(q).alias("root"), pairs.alias("pairs"), D.meaningful_answer(F.col("role"), q).alias("meaningful"), D.number_count(q).alias("numbers"))
 
 
 def clarifications(spark: SparkSession, d: str) -> DataFrame:
-    return CLARIFICATIONS.df(spark).select("id", D.clarification(F.col("question")).alias("question"))
+    return CLARIFICATIONS.df(spark, d).select("id", D.clarification(F.col("question")).alias("question"))
 
 
 def fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +68,8 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"supplied_facts": supplied, "clarifications": clarifications, "fallback_tool": fallback, "draft_reviews": reviews}
 SQL = {
-    "supplied_facts": "SELECT * FROM " + Inline("id int, root string, pairs string, meaningful boolean, numbers int", _FACTS).sql,
-    "clarifications": "SELECT * FROM " + Inline("id int, question string", _CLARIFIED).sql,
+    "supplied_facts": TURNS.results("id int, root string, pairs string, meaningful boolean, numbers int", _FACTS),
+    "clarifications": CLARIFICATIONS.results("id int, question string", _CLARIFIED),
     "fallback_tool": f"""WITH c AS (SELECT conv_id, list(DISTINCT CASE role WHEN 'system' THEN 'prepare_context' WHEN 'assistant' THEN 'rag_search' ELSE 'none' END) AS used, arg_max(role, turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id)
  SELECT conv_id, CASE WHEN last <> 'user' AND n % 2 <> 0 AND n % 3 <> 0 THEN NULL WHEN last = 'user' AND NOT list_contains(used, 'rag_search') THEN 'rag_search' WHEN NOT list_contains(used, 'prepare_context') THEN 'prepare_context'
  WHEN NOT list_contains(used, 'rag_search') THEN 'rag_search' ELSE 'retrieve_from_kb' END AS tool, list_has_any(used, {strings(D.EVIDENCE)}) AS evidence FROM c""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import memory as M
 from ..store import materialise
-from ._inline import Inline, Spread, strings
+from ._inline import Every, Inline, Spread, strings
 
 TERMS = ("the", "thing", "der", "que", "ing", "und")
 
@@ -71,20 +71,19 @@ def similarity(spark: SparkSession, d: str) -> DataFrame:
     return M.cosines(own, own.withColumn("turn", F.col("turn") - 1), "conv_id", "turn")
 
 
-DRAFTS = Inline(
+DRAFTS = Every(
     "user bigint, id bigint, layer string, category string, session bigint, text string, importance double, at int",
     [
         (1, 1, "long_term", "goal", 1, "pass the law exam", 0.5, 1), (1, 2, "long_term", "goal", 2, "pass  the law exam", 0.8, 2), (1, 3, "long_term", "goal", 2, "pass the law exam now", 0.4, 3), (1, 4, "long_term", "note", 2, "pass the law exam", 0.4, 4),
         (1, 5, "episodic", "turn", 1, "same words", 0.2, 5), (1, 6, "episodic", "turn", 1, "same words", 0.2, 6), (1, 7, "summary", "s", 1, "a b c d e f g", 0.3, 7), (1, 8, "summary", "s", 2, "a b c d e f g", 0.3, 8), (1, 9, "summary", "s", 2, "a b c d e f g h", 0.6, 9),
         (2, 10, "long_term", "goal", 1, "", 0.1, 1), (2, 11, "long_term", "goal", 1, " ", 0.2, 2), (2, 12, "long_term", "goal", 1, "x", 0.3, 3),
-    ],
-)
+    ], ids=('user', 'id'))
 #: The same by hand. "pass the law exam now" shares four of five tokens with what is kept: .8, below the limit.
 _MERGED = [(1, 1, "long_term", "goal", "pass  the law exam", 0.8, 2), (1, 3, "long_term", "goal", "pass the law exam now", 0.4, 1), (1, 4, "long_term", "note", "pass the law exam", 0.4, 1), (1, 5, "episodic", "turn", "same words", 0.2, 1), (1, 6, "episodic", "turn", "same words", 0.2, 1), (1, 7, "summary", "s", "a b c d e f g", 0.3, 1), (1, 8, "summary", "s", "a b c d e f g h", 0.6, 2), (2, 10, "long_term", "goal", " ", 0.2, 2), (2, 12, "long_term", "goal", "x", 0.3, 1)]
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    return M.merge_memories(DRAFTS.df(spark))
+    return M.merge_memories(DRAFTS.df(spark, d))
 
 
 PROFILES = Spread(
@@ -164,7 +163,7 @@ SQL = {
     "memory_layer_quota": f"WITH {_QUOTA} SELECT * FROM q",
     "retrieval_meta": f'WITH {_QUOTA} SELECT "user", layer, count(*)::BIGINT AS hits, max(final) AS best FROM q GROUP BY "user", layer',
     "hashing_similarity": f"WITH {_HASH} SELECT d.conv_id, d.turn, round(least(1e0, dot / (a.n * b.n)), 6) AS cosine FROM d JOIN l a ON a.conv_id = d.conv_id AND a.turn = d.turn JOIN l b ON b.conv_id = d.conv_id AND b.turn = d.turn + 1 WHERE dot > 0",
-    "memory_merge": "SELECT * FROM " + Inline("user bigint, id bigint, layer string, category string, text string, importance double, merged bigint", _MERGED).sql.replace("AS user", 'AS "user"'),
+    "memory_merge": DRAFTS.results("user bigint, id bigint, layer string, category string, text string, importance double, merged bigint", _MERGED),
     "profile_memories": f"WITH p AS (SELECT * FROM {PROFILES.sql.replace('AS user', 'AS ' + chr(34) + 'user' + chr(34))}), r AS ({_PROFILE} UNION ALL SELECT \"user\", 'preference', '用户偏好 ' || replace(unnest(preferences), '=', '：'), 0.9e0 FROM p UNION ALL SELECT \"user\", 'note', '用户备注：' || unnest(notes[-3:]), 0.8e0 FROM p) SELECT *, substring(md5('profile:' || category || ':' || text), 1, 12) AS id FROM r",
     "working_memories": f"WITH t AS (SELECT conv_id, turn, {_CLEAN} AS t FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3), x AS (SELECT conv_id, turn, '最近对话：' || CASE WHEN length(t) <= 90 THEN t ELSE regexp_replace(substring(t, 1, 89), '[ ，,；;：:]+$', '') || '…' END AS x FROM t) SELECT conv_id, turn, 'working' AS layer, 'recent_turn' AS category, 0.84e0 AS importance, length(x)::INT AS n, substring(md5('working:recent_turn:' || x), 1, 12) AS id FROM x",
     "merged_hits": f"WITH {_MEM}, a AS (SELECT id, 0 AS list, -base + id * 1e-9 AS o FROM s WHERE layer = 'long_term' AND importance >= 0.7e0 ORDER BY o LIMIT 30), b AS (SELECT id, 1 AS list, -base + id * 1e-9 AS o FROM s ORDER BY o LIMIT 30), u AS (SELECT id, list, o FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY id ORDER BY list, o) = 1) SELECT id, list FROM u ORDER BY list, o LIMIT 30",
