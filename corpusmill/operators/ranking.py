@@ -67,3 +67,18 @@ def hybrid(lexical: DataFrame, embedded: DataFrame, id_: str) -> DataFrame:
     """Full outer merge: the larger score, times 1.2 where both lists have the record."""
     a, b = lexical.select(id_, F.col("score").alias("a")), embedded.select(id_, F.col("score").alias("b"))
     return a.join(b, id_, "full_outer").select(id_, F.round(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b") * 1.2).otherwise(F.coalesce("a", "b")), 6).alias("score"))
+
+
+def search_sources(lexical: DataFrame, embedded: DataFrame, lexical_sources: list[str], embedded_sources: list[str], k: int, recall: int, rerank: Column | None = None, id_: str = "doc_id") -> DataFrame:
+    """(id, origin, score): the k best over several sources. Both lists have id, origin and score.
+
+    Of each source and list the ``recall`` best are taken; a record in both has its larger score times 1.2. With ``rerank``, a score
+    of the merged rows, the ``recall`` best of all are put in its order first.
+    """
+    a = top_per_group(lexical.filter(F.col("origin").isin(lexical_sources)), "origin", recall, id_).select(id_, "origin", "score")
+    b = top_per_group(embedded.filter(F.col("origin").isin(embedded_sources)), "origin", recall, id_).select(id_, F.col("origin").alias("other"), F.col("score").alias("b"))
+    both = F.col("score").isNotNull() & F.col("b").isNotNull()
+    merged = a.join(b, id_, "full_outer").select(id_, F.coalesce("origin", "other").alias("origin"), F.round(F.when(both, F.greatest("score", "b") * 1.2).otherwise(F.coalesce("score", "b")), 6).alias("score"))
+    if rerank is None:
+        return top(merged, k, id_)
+    return top(top(merged, recall, id_).withColumn("score", rerank), k, id_)

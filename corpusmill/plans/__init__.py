@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package; each has QUERIES (name -> function of spark and sf_dir) and SQL (name -> text).
-CATALOGUE: tuple[str, ...] = ("indexes", "sessions", "stores", "retrieval", "corpus", "study", "evaluation", "bank", "memory", "places", "planner", "candidates", "dialogue", "statutes")
+CATALOGUE: tuple[str, ...] = ("indexes", "sessions", "stores", "exams", "retrieval", "corpus", "study", "evaluation", "bank", "memory", "places", "planner", "candidates", "dialogue", "statutes")
 
 
 def _all(attribute: str) -> dict:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Of commits as they are written here; versions of another format are stale.
+FORMAT = 2
 COMMIT = "seq bigint, version string, state string, facts map<string,double>, parts map<string,string>, schemas map<string,string>"
 
 
@@ -32,7 +34,7 @@ def state_of(spark: SparkSession, paths: list[str], schema_version: int = 1) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     seen = F.xxhash64("path", "length", "modificationTime")
     sums = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size"), F.coalesce(F.bit_xor(seen), F.lit(0)).alias("a"), F.coalesce(F.bit_xor(F.xxhash64(seen, F.lit(1))), F.lit(0)).alias("b")).first()
-    return ":".join(map(str, (schema_version, *sums)))
+    return ":".join(map(str, (FORMAT, schema_version, *sums)))
 
 
 @dataclass(frozen=True)
