@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import banks as B
 from ..operators import exams as E
 from ..operators import ranking as R
 from .indexes import text_index
@@ -69,7 +70,42 @@ def multi_source(spark: SparkSession, d: str) -> DataFrame:
     return R.search_sources(lexical, R.dense(vectors, query), list(SOURCES), list(SOURCES[:2]), TOP, TOP * RECALL)
 
 
-QUERIES = {"exam_generation": generated, "multi_source_search": multi_source}
+TARGET, PREFIX = 900, "gen-"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as candidates: ids collide by the length of the text, questions by its first words."""
+    words = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    return _t(spark, d, "documents").select("doc_id", F.concat(F.lit(PREFIX), (F.col("n_chars") % 5000).cast("string")).alias("id"), F.coalesce("lang", F.lit("xx")).alias("type"), F.coalesce(words, F.lit("")).alias("question"))
+
+
+def _bank(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as the bank so far: half of their ids are generated ones, some hold what candidates hold."""
+    k = F.col("p_partkey")
+    return _t(spark, d, "part").select(F.concat(F.when(k % 2 == 0, PREFIX).otherwise(F.when(k % 3 == 0, "gen").otherwise("own-")), k.cast("string")).alias("id"), F.lit("en").alias("type"), F.element_at(F.split("p_name", " "), 1).alias("question"), F.col("p_brand").alias("title"))
+
+
+def rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    return B.rebuilt_questions(_candidates(spark, d), _bank(spark, d), "doc_id", PREFIX, TARGET)
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as cases, with titles that repeat and that brands have."""
+    k = F.col("s_suppkey")
+    own = _t(spark, d, "supplier").select(k.alias("at"), F.concat(F.lit("own-"), (k % 70).cast("string")).alias("id"), F.concat(F.lit("Brand#"), (k % 9 + 10).cast("string")).alias("title"), F.concat(F.lit("sample-"), F.lpad(k.cast("string"), 9, "0")).alias("sample"))
+    return B.titled_cases(own, _bank(spark, d), "at", "sample").select("id", "title")
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return B.summary({n: _t(spark, d, n) for n in ("documents", "part", "supplier", "benchmark")})
+
+
+def laid_out(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in the order of three languages; the others are left out."""
+    return B.flattened(_t(spark, d, "documents").select("doc_id", "lang"), ["fr", "en", "es"], "lang", "doc_id").select("doc_id", "lang", F.col("position").cast("bigint").alias("position"))
+
+
+QUERIES = {"bank_rebuild": rebuilt, "case_titles": cases, "bank_summary": counts, "pool_order": laid_out, "exam_generation": generated, "multi_source_search": multi_source}
 _MAP = lambda column, values, default: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}e0" for k, v in values.items()) + f" ELSE {default!r}e0 END"
 _U = "(-ln((('0x' || substring(md5(id::VARCHAR || ':' || seed || ':{0}'), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297e0) / {1})"
 _W = lambda shun: f"""greatest(0.01e0, ((((CASE WHEN mastery < 0.35e0 THEN {_MAP('difficulty', E.MASTERY[0], 1.0)} WHEN mastery < 0.75e0 THEN {_MAP('difficulty', E.MASTERY[1], 1.0)} ELSE {_MAP('difficulty', E.MASTERY[2], 1.0)} END)
@@ -106,4 +142,15 @@ a AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY origin ORDER BY sc
 q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), y AS (SELECT vec_id AS doc_id, lang AS origin, round(list_sum(list_transform(range(1, len(q) + 1), lambda i: embedding[i]::DOUBLE * q[i])), 6) AS score FROM embeddings JOIN documents ON vec_id = doc_id, q WHERE lang IN {SOURCES[:2]!r}),
 b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY origin ORDER BY score DESC, doc_id) <= {TOP * RECALL})
 SELECT doc_id, coalesce(a.origin, b.origin) AS origin, round(CASE WHEN a.score IS NOT NULL AND b.score IS NOT NULL THEN greatest(a.score, b.score) * 1.2e0 ELSE coalesce(a.score, b.score) END, 6) AS score FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT {TOP}""",
+    "bank_rebuild": """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY doc_id) AS pos, 'gen-' || (n_chars % 5000) AS id, coalesce(lang, 'xx') AS type, coalesce(array_to_string(string_split(text, ' ')[1:2], ' '), '') AS question FROM documents),
+b AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'gen-' WHEN p_partkey % 3 = 0 THEN 'gen' ELSE 'own-' END || p_partkey AS id, 'en' AS type, string_split(p_name, ' ')[1] AS question FROM part), k AS (SELECT * FROM b WHERE NOT starts_with(id, 'gen-')),
+w(pos, ids, keys, id, type, question, ok) AS (SELECT 0::BIGINT, (SELECT list(id) FROM k), (SELECT list(type || '::' || question) FROM k), NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false
+UNION ALL SELECT pos, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(keys, type || '::' || question) ELSE keys END, id, type, question, ok
+FROM (SELECT c.pos, ids, keys, c.id, c.type, c.question, NOT list_contains(ids, c.id) AND NOT list_contains(keys, c.type || '::' || c.question) AS ok FROM w JOIN c ON c.pos = w.pos + 1))
+SELECT id, type, question, false AS generated FROM k UNION ALL (SELECT id, type, question, true FROM w WHERE ok ORDER BY pos LIMIT (SELECT greatest(0, 900 - count(*)) FROM k))""",
+    "case_titles": """WITH b AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'gen-' WHEN p_partkey % 3 = 0 THEN 'gen' ELSE 'own-' END || p_partkey AS id, p_brand AS title FROM part),
+c AS (SELECT s_suppkey AS pos, 'own-' || (s_suppkey % 70) AS id, 'Brand#' || (s_suppkey % 9 + 10) AS title, lpad(s_suppkey::VARCHAR, 9, '0') AS s FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 70 ORDER BY s_suppkey) = 1), o AS (SELECT * FROM c WHERE id NOT IN (SELECT id FROM b))
+SELECT id, CASE WHEN row_number() OVER (PARTITION BY title ORDER BY pos) > 1 OR title IN (SELECT title FROM b) THEN title || '（' || right(s, 6) || '）' ELSE title END AS title FROM o""",
+    "bank_summary": "SELECT 'documents' AS bank, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'benchmark', count(*) FROM benchmark",
+    "pool_order": "SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, doc_id) - 1 AS position FROM documents WHERE lang IN ('fr', 'en', 'es')",
 }
