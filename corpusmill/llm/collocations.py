@@ -24,6 +24,7 @@ empty table gives an empty result; other columns, doc_id too, are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -92,8 +93,8 @@ def _phrases(lang: str, hashes: np.ndarray, pieces: np.ndarray, most: int, cells
             yield k, at, (mix(grams(hashes, k)[at] ^ salt) >> _U(64 - cells)).astype(np.uint32)
 
 
-def _sketch(least: int, most: int, cells: int) -> Callable:
-    """Rows: slab, cells that occur once in a shard, cells that occur more often, and how often (up to ``least``)."""
+def _sketch(least: int, most: int, cells: int, salts: int) -> Callable:
+    """Rows: slab, part of it, cells that occur once in a shard, cells that occur more often, and how often (up to ``least``)."""
     slab_bits = min(SLAB, cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,37 +107,41 @@ def _sketch(least: int, most: int, cells: int) -> Callable:
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             own, counts = own[first], np.diff(np.append(first, len(own)))
             cuts = np.searchsorted(own, np.arange(0, (1 << (cells - slab_bits)) + 1, dtype=np.uint64) << _U(slab_bits))
-            rows: list[tuple[int, bytes, bytes, bytes]] = []
+            salt = zlib.crc32(text) % salts
+            rows: list[tuple[int, int, bytes, bytes, bytes]] = []
             for slab in np.flatnonzero(np.diff(cuts)).tolist():
                 part, n = own[cuts[slab] : cuts[slab + 1]] & np.uint32((1 << slab_bits) - 1), counts[cuts[slab] : cuts[slab + 1]]
                 often = n > 1
-                rows.append((slab, part[~often].tobytes(), part[often].tobytes(), np.minimum(n[often], least).astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["slab", "once", "often", "n"])
+                rows.append((slab, salt, part[~often].tobytes(), part[often].tobytes(), np.minimum(n[often], least).astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["slab", "salt", "once", "often", "n"])
 
     return run
 
 
-def _heavy(least: int, cells: int) -> Callable:
-    """Rows sorted by slab become the bitmap of each slab's cells that reach ``least``."""
+def _summed(least: int, cells: int, last: bool) -> Callable:
+    """Rows sorted by slab and part become sums (up to ``least``) of each part's cells that are not 0, or, at ``last``, the bitmap of each slab's cells that reach ``least``."""
     width = 1 << min(SLAB, cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slab, sums = None, np.zeros(width, dtype=np.int64)
+        key, sums = None, np.zeros(width, dtype=np.int64)
 
-        def bits() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["slab", "bits"])
+        def made() -> pa.RecordBatch:
+            if last:
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["slab", "bits"])
+            some = np.flatnonzero(sums)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([some.astype(np.uint32).tobytes()], pa.binary()), pa.array([np.minimum(sums[some], least).astype(np.uint32).tobytes()], pa.binary())], names=["slab", "salt", "once", "often", "n"])
 
         for batch in batches:
-            for key, once, often, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if key != slab:
-                    if slab is not None:
-                        yield bits()
-                    slab = key
+            for slab, salt, once, often, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (slab, salt) != key:
+                    if key is not None:
+                        yield made()
+                    key = slab, salt
                     sums[:] = 0
                 sums[np.frombuffer(once, dtype=np.uint32)] += 1
                 sums[np.frombuffer(often, dtype=np.uint32)] += np.frombuffer(n, dtype=np.uint32)
-        if slab is not None:
-            yield bits()
+        if key is not None:
+            yield made()
 
     return run
 
@@ -190,10 +195,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, ce
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sketch = mapped(docs, _sketch(least, most, cells), "slab int, once binary, often binary, n binary").repartition(parts, "slab").sortWithinPartitions("slab")
+    salts = max(1, parts >> max(0, cells - SLAB))
+    kind = "slab int, salt int, once binary, often binary, n binary"
+    dealt = lambda df: df.repartition(parts, "slab", "salt").sortWithinPartitions("slab", "salt")
+    sketch = dealt(mapped(docs, _sketch(least, most, cells, salts), kind))
+    if salts > 1:
+        sketch = dealt(mapped(sketch, _summed(least, cells, False), kind))
     bitmap = bytearray(1 << (cells - 3))
     width = 1 << (min(SLAB, cells) - 3)
-    for row in mapped(sketch, _heavy(least, cells), "slab int, bits binary").toLocalIterator():
+    for row in mapped(sketch, _summed(least, cells, True), "slab int, bits binary").toLocalIterator():
         bitmap[row["slab"] * width : (row["slab"] + 1) * width] = row["bits"]
     known = spark.sparkContext.broadcast(bytes(bitmap))
     found = mapped(docs, _scan(known, most, cells), "lang string, phrase string, words int, n bigint")

@@ -175,6 +175,9 @@ def test_collocation_shards(docs, monkeypatch):
     """Many small shards and automata give the same rows."""
     monkeypatch.setattr(collocations, "HELD", 2000)
     monkeypatch.setattr(collocations, "PATTERN_BYTES", 100)
+    monkeypatch.setattr(collocations, "SLAB", 14)
+    assert sorted(map(tuple, collocations.collocations(docs, least=4, top=50, cells=16).collect())) == _collocations(_rows(), 4, 50)
+    monkeypatch.setattr(collocations, "SLAB", 15)  # two slabs in eight partitions: each is summed in four parts first
     assert sorted(map(tuple, collocations.collocations(docs, least=4, top=50, cells=16).collect())) == _collocations(_rows(), 4, 50)
 
 
