@@ -97,18 +97,19 @@ class Inverted:
         Then blocks are left out whose best posting, with the best of all other terms, stays below it: all blocks of a document that reaches it are kept.
         """
         terms = sorted(set(terms))
+        part = _part(F.col("tf"), F.col("dl"), self.facts["avgdl"])
+        if at_least is None:
+            idf = self._asked(self.terms(), terms).select("term", "idf")  # a row for each asked term at most
+            hits = self.postings(terms).join(F.broadcast(idf), "term")
+            return hits.groupBy("id").agg(F.round(F.sum(F.col("idf") * part), 6).alias("score"))
         known = self.weights(terms)
         if not known:
             return self.docs().filter("false").select("id", F.lit(0.0).alias("score"))
         idf = F.create_map(*(F.lit(x) for t, (w, _) in known.items() for x in (t, w)))[F.col("term")]
-        own = self.blocks(list(known))
-        if at_least is not None:
-            others = sum(max(m, 0.0) for _, m in known.values())
-            rest = F.create_map(*(F.lit(x) for t, (_, m) in known.items() for x in (t, others - max(m, 0.0))))[F.col("term")]
-            own = own.filter(idf * F.col("most") + rest >= at_least - 1e-6)
-        hits = own.select("term", F.inline("posts"))
-        scored = hits.groupBy("id").agg(F.round(F.sum(idf * _part(F.col("tf"), F.col("dl"), self.facts["avgdl"])), 6).alias("score"))
-        return scored if at_least is None else scored.filter(F.col("score") >= at_least)
+        others = sum(max(m, 0.0) for _, m in known.values())
+        rest = F.create_map(*(F.lit(x) for t, (_, m) in known.items() for x in (t, others - max(m, 0.0))))[F.col("term")]
+        hits = self.blocks(list(known)).filter(idf * F.col("most") + rest >= at_least - 1e-6).select("term", F.inline("posts"))
+        return hits.groupBy("id").agg(F.round(F.sum(idf * part), 6).alias("score")).filter(F.col("score") >= at_least)
 
     def overlap(self, terms: list[str], title: str) -> DataFrame:
         """The kept columns and the share of asked terms in each document that has one, +0.1 where one of those is in its title."""

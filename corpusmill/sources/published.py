@@ -20,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,12 +29,19 @@ FORMAT = 2
 COMMIT = "seq bigint, version string, state string, facts map<string,double>, parts map<string,string>, schemas map<string,string>"
 
 
-def state_of(spark: SparkSession, paths: list[str], schema_version: int = 1) -> str:
-    """Changes when a file of ``paths`` (files or folders) is added, removed or replaced, or with ``schema_version``."""
+def _sums(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     seen = F.xxhash64("path", "length", "modificationTime")
-    sums = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size"), F.coalesce(F.bit_xor(seen), F.lit(0)).alias("a"), F.coalesce(F.bit_xor(F.xxhash64(seen, F.lit(1))), F.lit(0)).alias("b")).first()
-    return ":".join(map(str, (FORMAT, schema_version, *sums)))
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size"), F.coalesce(F.bit_xor(seen), F.lit(0)).alias("a"), F.coalesce(F.bit_xor(F.xxhash64(seen, F.lit(1))), F.lit(0)).alias("b"))
+
+
+def _state(row: Row, schema_version: int) -> str:
+    return ":".join(map(str, (FORMAT, schema_version, row["n"], row["size"], row["a"], row["b"])))
+
+
+def state_of(spark: SparkSession, paths: list[str], schema_version: int = 1) -> str:
+    """Changes when a file of ``paths`` (files or folders) is added, removed or replaced, or with ``schema_version``."""
+    return _state(_sums(spark, paths).first(), schema_version)
 
 
 @dataclass(frozen=True)
@@ -80,26 +87,37 @@ class Writer:
         return Version(self.root, self.version, seq, state, dict(self.facts), dict(self.parts), dict(self.schemas))
 
 
-def current(spark: SparkSession, root: str) -> Version | None:
-    """The version in force, if there is one."""
-    root = root.rstrip("/")
+def _latest(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row, the last commit (null if there is none), or None where no folder of commits is."""
     try:
         commits = spark.read.schema(COMMIT).option("mode", "FAILFAST").json(f"{root}/commits/*")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    row = commits.agg(F.max_by(F.struct("*"), F.struct("seq", "version")).alias("c")).first()["c"]
+    return commits.agg(F.max_by(F.struct("*"), F.struct("seq", "version")).alias("c"))
+
+
+def _version(root: str, row: Row | None) -> Version | None:
     return row and Version(root, row["version"], row["seq"], row["state"], dict(row["facts"] or {}), dict(row["parts"] or {}), dict(row["schemas"] or {}))
 
 
+def current(spark: SparkSession, root: str) -> Version | None:
+    """The version in force, if there is one."""
+    latest = _latest(spark, root.rstrip("/"))
+    return None if latest is None else _version(root.rstrip("/"), latest.first()["c"])
+
+
 def load_or_build(spark: SparkSession, root: str, sources: list[str], build: Callable[[Writer], None], schema_version: int = 1) -> Version:
     """The version in force if it is of the sources as they are now, else a new one that ``build`` has written.
 
     The state is taken before the build reads: sources that change meanwhile make the new version stale, never wrong for long.
     """
-    state = state_of(spark, sources, schema_version)
-    last = current(spark, root)
+    root = root.rstrip("/")
+    latest = _latest(spark, root)
+    both = _sums(spark, sources) if latest is None else _sums(spark, sources).crossJoin(latest)  # one row each, in one job
+    row = both.first()
+    state, last = _state(row, schema_version), None if latest is None else _version(root, row["c"])
     if last and last.state == state:
         return last
     writer = Writer(spark, root)
