@@ -22,17 +22,29 @@ TREE = Inline(
 QUESTIONS = Spread("id int, text string", [(1, "长沙市芙蓉区的房东不退押金怎么办"), (2, "湖南与北京的规定"), (3, "开福区"), (4, "开福"), (5, "没有地名"), (6, ""), (7, "广西南宁和湖南株洲以及长沙开福区和北京市东城区")], texts=("text",))
 
 
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The rows above, and regions, nations and their suppliers (by the last two digits of the key) as provinces, cities and districts; every seventh district has no name of its own."""
+    number = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    region = _t(spark, d, "region").select(F.concat(F.lit("5"), F.col("r_regionkey").cast("string")).alias("code"), F.concat("r_name", F.lit("省")).alias("name"), F.lit(None).cast("string").alias("parent"))
+    up = F.concat(F.lit("5"), F.col("n_regionkey").cast("string"))
+    nation = _t(spark, d, "nation").select("n_nationkey", F.concat(up, number("n_nationkey")).alias("code"), F.concat("n_name", F.lit("市")).alias("name"), up.alias("parent"))
+    k = F.col("k")
+    county = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), (F.col("s_suppkey") % 100).alias("k")).distinct().join(nation.select("n_nationkey", F.col("code").alias("parent")), "n_nationkey")
+    county = county.select(F.concat("parent", number("k")).alias("code"), F.when(k % 7 == 0, "市辖区").otherwise(F.concat(F.lit("C"), k.cast("string"), F.lit("区"))).alias("name"), "parent")
+    return TREE.df(spark).unionByName(region).unionByName(nation.drop("n_nationkey")).unionByName(county)
+
+
 def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    regions = materialise(P.flatten(TREE.df(spark)), "region-paths")
+    regions = materialise(P.flatten(nodes(spark, d)), "region-paths")
     return regions, P.mentions(QUESTIONS.df(spark, d), P.aliases(regions), "id", "text")
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    return P.flatten(TREE.df(spark)).select("code", "name", F.array_join("path_codes", "/").alias("codes"), F.array_join(P.compact_path(F.col("path_names")), "/").alias("names"), P.strip_suffix(F.col("name")).alias("short"))
+    return P.flatten(nodes(spark, d)).select("code", "name", F.array_join("path_codes", "/").alias("codes"), F.array_join(P.compact_path(F.col("path_names")), "/").alias("names"), P.strip_suffix(F.col("name")).alias("short"))
 
 
 def region_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return P.aliases(P.flatten(TREE.df(spark)))
+    return P.aliases(P.flatten(nodes(spark, d)))
 
 
 def text_match(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +123,9 @@ QUERIES = {
 }
 
 _SHORT = "CASE " + " ".join(f"WHEN suffix(name, '{s}') AND length(name) >= {len(s) + 2} THEN left(name, length(name) - {len(s)})" for s in P.SUFFIXES) + " END"
-_TREE = f"RECURSIVE t AS (SELECT * FROM {TREE.sql} WHERE length(code) IN (2, 4, 6) AND name <> ''), r AS (SELECT code, name, [code] AS codes, [name] AS names FROM t WHERE parent IS NULL UNION ALL SELECT t.code, t.name, list_append(r.codes, t.code), list_append(r.names, t.name) FROM t JOIN r ON t.parent = r.code), s AS (SELECT code, {_SHORT} AS alias FROM r), a AS (SELECT name AS alias, code FROM r UNION SELECT alias, min(code) FROM s WHERE alias IS NOT NULL GROUP BY alias HAVING count(*) = 1)"
+_NODES = f"""(SELECT * FROM {TREE.sql} UNION ALL SELECT '5' || r_regionkey, r_name || '省', NULL FROM region UNION ALL SELECT '5' || n_regionkey || lpad(n_nationkey::VARCHAR, 2, '0'), n_name || '市', '5' || n_regionkey FROM nation
+UNION ALL SELECT DISTINCT '5' || n_regionkey || lpad(n_nationkey::VARCHAR, 2, '0') || lpad((s_suppkey % 100)::VARCHAR, 2, '0'), CASE WHEN (s_suppkey % 100) % 7 = 0 THEN '市辖区' ELSE 'C' || (s_suppkey % 100) || '区' END, '5' || n_regionkey || lpad(n_nationkey::VARCHAR, 2, '0') FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+_TREE = f"RECURSIVE t AS (SELECT * FROM {_NODES} WHERE length(code) IN (2, 4, 6) AND name <> ''), r AS (SELECT code, name, [code] AS codes, [name] AS names FROM t WHERE parent IS NULL UNION ALL SELECT t.code, t.name, list_append(r.codes, t.code), list_append(r.names, t.name) FROM t JOIN r ON t.parent = r.code), s AS (SELECT code, {_SHORT} AS alias FROM r), a AS (SELECT name AS alias, code FROM r UNION SELECT alias, min(code) FROM s WHERE alias IS NOT NULL GROUP BY alias HAVING count(*) = 1)"
 _NORMAL = r"(CASE WHEN starts_with(x, '《') AND suffix(x, '》') THEN trim(x[2:-2]) ELSE x END)"
 _ALIAS = "CASE WHEN starts_with(title, '中华人民共和国') AND length(title) > 7 THEN title || '|' || substring(title, 8) ELSE title END"
 SQL = {
