@@ -37,23 +37,33 @@ def labelled(nodes: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     return own.join(placed, "id").select(*nodes.columns, "enter", (F.col("enter") + F.col("size")).alias("leave"))
 
 
+def _chains(tree: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """(id, name, level, chain): a node's name and those of all nodes above it."""
+    own = tree.select("id", "parent", "name", "level", F.array_compact(F.array("name")).alias("chain"))
+    above = own.filter(F.col("level") == levels[0])
+    for level in levels[1:]:
+        part = own.filter(F.col("level") == level).join(above.select(F.col("id").alias("parent"), F.col("chain").alias("up")), "parent", "left")
+        above = above.unionByName(part.select("id", "parent", "name", "level", F.array_distinct(F.concat("chain", F.coalesce("up", F.array().cast("array<string>")))).alias("chain")))
+    return above
+
+
 def resolve(requests: DataFrame, tree: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """(request, id, level) of requests (request, and a column of names for each level).
 
     The deepest named level that has a node of that name below all nodes' names given above it decides; of several such nodes the first by id.
-    A level without a fitting node gives way to the one above it. Requests that fit nowhere have no row.
+    A level without a fitting node gives way to the one above it. Requests that fit nowhere have no row. Requests never meet
+    single nodes: nodes are folded first by the names they can be asked for, of which a node at depth d has (d + 2) ** d at most.
     """
-    nodes = tree.select("id", "name", "level", "enter", "leave")
+    wanted = requests.select("request", *(F.coalesce(F.col(x), F.lit("")).alias(x) for x in levels))
+    chains = _chains(tree, levels)
     found = None
     for depth, level in enumerate(levels):
-        asked = requests.filter(F.coalesce(F.col(level), F.lit("")) != "")
-        own = asked.join(nodes.filter(F.col("level") == level), F.col(level) == F.col("name")).select("request", *levels, "id", "enter")
+        # a row for each way of naming a node: its own name, and for each level above one of the chain's names or none
+        given = chains.filter(F.col("level") == level).select("id", F.col("name").alias(level), F.array_distinct(F.concat(F.array(F.lit("")), "chain")).alias("chain"))
         for above in levels[:depth]:
-            up = nodes.select(F.col("name").alias("up_name"), F.col("enter").alias("low"), F.col("leave").alias("high"))
-            named = F.coalesce(F.col(above), F.lit("")) != ""
-            inside = own.filter(named).join(up, (F.col(above) == F.col("up_name")) & (F.col("enter") >= F.col("low")) & (F.col("enter") < F.col("high")), "left_semi")
-            own = inside.unionByName(own.filter(~named))
-        first = own.groupBy("request").agg(F.min("id").alias("id")).select("request", "id", F.lit(level).alias("level"), F.lit(depth).alias("depth"))
+            given = given.select("*", F.explode("chain").alias(above))
+        names = list(levels[: depth + 1])
+        first = wanted.filter(F.col(level) != "").join(given.groupBy(*names).agg(F.min("id").alias("id")), names).select("request", "id", F.lit(level).alias("level"), F.lit(depth).alias("depth"))
         found = first if found is None else found.unionByName(first)
     best = found.groupBy("request").agg(F.max(F.struct("depth", "id", "level")).alias("b"))
     return best.select("request", "b.id", "b.level")

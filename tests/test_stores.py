@@ -184,3 +184,16 @@ def test_document_manifest(spark, tmp_path):
     was = {r["name"]: r for r in one.read(spark, "manifest").collect() if "/b/" not in r["path"]}
     assert rows["x.docx"]["digest"] == was["x.docx"]["digest"] and rows["y.docx"]["digest"] != was["y.docx"]["digest"] and "empty" not in rows and rows["moved"]["fresh"]
     assert documents.refresh(spark, str(src), root).facts["read"] == 0.0
+
+
+def test_places_of_one_name(spark):
+    """Very many requests for a name that very many nodes have: their pairs are not made."""
+    import time
+
+    own = spark.range(50_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("id"), F.lit("p").alias("parent"), F.lit("same").alias("name"), F.lit("county").alias("level"))
+    tree = regions.labelled(own.union(spark.createDataFrame([("p", None, "P", "province")], "id string, parent string, name string, level string")))
+    requests = spark.range(50_000).select(F.col("id").alias("request"), F.lit("P").alias("province"), F.lit("").alias("prefecture"), F.lit("same").alias("county"))
+    began = time.time()
+    counts = lambda own: [tuple(r) for r in regions.resolve(own, tree).groupBy("id").count().collect()]
+    assert counts(requests) == [("c000000000", 50_000)] and counts(requests.withColumn("province", F.lit("Q"))) == []
+    assert time.time() - began < 60
