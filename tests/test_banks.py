@@ -66,3 +66,17 @@ def test_exam_stages(spark):
     again = exams.sample(asked, spark.createDataFrame(bank, "id int, type string, topic string, tags array<string>, difficulty string").repartition(3), hits).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
     assert [spark.range(1).select(exams.priority_target(F.lit(e), F.lit(n), F.lit(found))).first()[0] for e, n, found in ((weak, 10, 20), (mixed, 10, 20), ("x", 5, 20), (chapter, 10, 3), (weak, 0, 5), (weak, 5, 0), (mixed, 1, 9))] == [7, 4, 2, 3, 0, 0, 1]
+
+
+def test_best_draws(spark):
+    """All pairs are drawn, few go on, and those are the least of each request."""
+    questions = spark.range(40_000).select(F.col("id").alias("id"), (F.col("id") % 4).alias("kind"), F.lit("easy").alias("difficulty"))
+    met = spark.range(4).select(F.lit("r").alias("request"), F.col("id").alias("kind"), F.lit(0).alias("quality"), F.lit(0).alias("preferred"), F.lit(0).alias("mastered"))
+    met = met.union(met.filter("kind = 1").withColumn("request", F.lit("s")))
+    lacks = spark.createDataFrame([("r", None, False, exams.MIXED, 0.5, "x", 7, 3), ("s", None, False, exams.MIXED, 0.5, "y", 2, 0)], "request string, topic string, topical boolean, exam string, mastery double, seed string, lack int, n_special int")
+    k = exams._draw(F.col("id"), F.col("seed"), "2", F.lit(1.0))
+    got = exams._best(met, lacks, questions, k, 20).groupBy("request").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("k", "id"))), 1, 10).alias("b"))
+    got = {r["request"]: (r["n"], [tuple(x) for x in r["b"]]) for r in got.collect()}
+    pairs = met.join(lacks, "request").join(questions, "kind").select("request", k.alias("k"), "id").collect()
+    for r, deep in (("r", 10), ("s", 2)):
+        assert got[r][1][:deep] == sorted((x["k"], x["id"]) for x in pairs if x["request"] == r)[:deep] and deep <= got[r][0] < 2_000
