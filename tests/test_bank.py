@@ -36,3 +36,33 @@ def test_units_keep_signs(spark, tmp_path):
     df = corpus.article_units(spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({corpus.SQL['article_units']})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and len(want) > 50
+
+
+def test_calculated_by_form():
+    """By its form an expression has the value that it has by itself, also where signs join numbers."""
+    import random
+
+    from corpusmill.functions import requests as Q
+
+    rng = random.Random(5)
+    pieces = ["1", "23", "007", "4.5", "1e3", "0x1F", "1_0", "12345678901234567", "５", ",", "，", "。", ".", "倍", "x", "X", "×", "÷", "^", "+", "-", "*", "/", "//", "%", "％", "万", "百", "元", "块钱", "(", ")", " ", "min(", "round(", "abs(", "max(", "a", "if", "'", "345", "100", "0"]
+    fixed = ["12x345元", "-（3＋4）", "5％ * 30", "7^2", "7^65", "3倍*2块钱", "3万+2百", "min(3, 4)", "8 % 3", "1，234。5－6", "9//7 ＋ 10÷4", "1/0", "5,倍345", "round(2.567, 2)", "round(2.5)", "", None, "5倍3", "min(1,234, 5)", "2^-1", "(-8)^0.5"]
+    own = fixed + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 7))) for _ in range(20_000)]
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert [x for x in own if repr(Q.calculated(x)) != repr(Q.calculate(x))] == []
+    Q._form.cache_clear()
+    for i in range(1_000):
+        Q.calculated(f"{i}x{i + 7}元")
+    assert Q._form.cache_info().misses == 1
+
+
+def test_distinct_in_parts(spark):
+    """The number of tasks follows the number of rows."""
+    from corpusmill.operators import ranking
+
+    df = spark.range(3_000).select((F.col("id") % 50).alias("a"), (F.col("id") % 7).alias("b"))
+    got = ranking.distinct_in_parts(df, 100 * ranking.DISTINCT_ROWS, "a", "b")
+    assert got.rdd.getNumPartitions() == 100 and got.count() == 350
