@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
 from ..sources.published import Version, Writer, load_or_build
+from ..store import materialise
 from .ranking import B, EPSILON, K1
 
 #: Postings of a block, documents of a shard, and documents for each folder of terms (at most MAX_BUCKETS).
 BLOCK, SHARD_DOCS, BUCKET_DOCS, MAX_BUCKETS = 128, 1_000_000, 20_000, 4096
+#: Groups of postings for each task that sorts them, at least.
+SLICES = 4
 SCHEMA_VERSION = 1
 
 
@@ -41,17 +44,23 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 def build(writer: Writer, docs: DataFrame, id_: str, text: str, keep: list[str]) -> None:
     """Write the index of ``docs``. Null texts have no tokens; rows with a null id are left out; ids are to be unique."""
-    own = docs.filter(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"), *keep)
-    held = writer.write("docs", own.select("id", F.size("t").alias("dl"), *keep))
+    parts = max(int(writer.spark.conf.get("spark.sql.shuffle.partitions")), writer.spark.sparkContext.defaultParallelism)
+    # a file of one row group is read by one task: texts are dealt before they are cut, which is done once
+    own = docs.filter(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("_text"), *keep).repartition(parts, "id")
+    own = own.select("id", *keep, word_tokens(F.coalesce(F.col("_text"), F.lit(""))).alias("t"))
+    own = materialise(own.select("id", F.size("t").alias("dl"), *keep, counted(F.col("t")).alias("counts")), "tokens")
+    held = writer.write("docs", own.select("id", "dl", *keep))
     n, avgdl = held.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     buckets = min(MAX_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, n / BUCKET_DOCS)))))
     shards = max(1, math.ceil(n / SHARD_DOCS))
-    posts = own.select("id", F.size("t").alias("dl"), F.inline(counted(F.col("t"))))
+    posts = own.select("id", "dl", F.inline("counts"))
     posts = posts.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    parts = max(int(writer.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # where folders and shards are fewer than tasks, a folder's terms are dealt to several of them
+    slices = math.ceil(SLICES * parts / (buckets * shards))
+    part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(slices))
     group = ("bucket", "shard", "term")
     place = F.row_number().over(Window.partitionBy(*group).orderBy("id"))
-    dealt = posts.repartition(parts, "bucket", "shard").withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
+    dealt = posts.repartition(parts, "bucket", "shard", part).withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
     blocks = dealt.groupBy(*group, "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("posts"), F.max(_part(F.col("tf"), F.col("dl"), avgdl or 1.0)).alias("most"))
     written = writer.write("blocks", blocks.sortWithinPartitions("bucket", "term", "shard", "block"), "bucket")
     df = written.groupBy("bucket", "term").agg(F.sum(F.size("posts")).alias("df"), F.max("most").alias("most"), F.max(F.array_max(F.transform("posts", lambda p: p["tf"]))).alias("max_tf"))
