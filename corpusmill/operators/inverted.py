@@ -58,11 +58,11 @@ def build(writer: Writer, docs: DataFrame, id_: str, text: str, keep: list[str])
     # where folders and shards are fewer than tasks, a folder's terms are dealt to several of them
     slices = math.ceil(SLICES * parts / (buckets * shards))
     part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(slices))
-    group = ("bucket", "shard", "term")
+    group = ("bucket", "shard", "part", "term")  # what rows are dealt by is among them, so that they are dealt once
     place = F.row_number().over(Window.partitionBy(*group).orderBy("id"))
-    dealt = posts.repartition(parts, "bucket", "shard", part).withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
+    dealt = posts.withColumn("part", part).repartition(parts, "bucket", "shard", "part").withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
     blocks = dealt.groupBy(*group, "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("posts"), F.max(_part(F.col("tf"), F.col("dl"), avgdl or 1.0)).alias("most"))
-    written = writer.write("blocks", blocks.sortWithinPartitions("bucket", "term", "shard", "block"), "bucket")
+    written = writer.write("blocks", blocks.drop("part").sortWithinPartitions("bucket", "term", "shard", "block"), "bucket")
     df = written.groupBy("bucket", "term").agg(F.sum(F.size("posts")).alias("df"), F.max("most").alias("most"), F.max(F.array_max(F.transform("posts", lambda p: p["tf"]))).alias("max_tf"))
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     terms = writer.write("terms", raw.sortWithinPartitions("bucket", "term"), "bucket")
