@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranking import dot
+from ..store import materialise
+from .blocks import Products, Shared, best
 
 NODE_LINK = "nodes array<map<string,string>>, links array<map<string,string>>"
 
@@ -47,23 +48,27 @@ def neighbourhood(asked: DataFrame, edges: DataFrame, hops: int, degree: int, or
 
 
 def related(asked: DataFrame, links: DataFrame, limit: int) -> DataFrame:
-    """(asked, node, shared, rank): other sources that share a target with an asked one, those with most shared targets first, then by id."""
-    own = links.select("source", "target").distinct()
-    met = own.join(asked.select(F.col("asked").alias("source")), "source", "left_semi").withColumnRenamed("source", "asked").join(own.withColumnRenamed("source", "node"), "target").filter("asked <> node")
-    counted = met.groupBy("asked", "node").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("shared"), "node"))
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    """(asked, node, shared, rank): other sources that share a target with an asked one, those with most shared targets first, then by id.
+
+    The asked ones' targets are compared with all others' block by block: pairs are not made, however many sources share a target.
+    """
+    sets = materialise(links.filter("source IS NOT NULL").groupBy("source").agg(F.collect_set("target").alias("value")), "targets")
+    own = sets.join(asked.select(F.col("asked").alias("source")), "source", "left_semi").select(F.col("source").alias("asked"), "value", F.lit(1).alias("times"))
+    found = best(own, sets.withColumnRenamed("source", "node"), limit + 1, Shared).filter("asked <> node")  # one of them may be itself
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("at"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= limit).select("asked", "node", F.col("score").cast("bigint").alias("shared"), "rank")
 
 
 def similar(asked: DataFrame, vectors: DataFrame, limit: int, shown: DataFrame | None = None, recall: int = 4) -> DataFrame:
     """(asked, node, score, rank): of the ``recall`` rows of ``vectors`` (node, vector) with the largest product, those that are not the asked one and not in ``shown`` (asked, node); ``limit`` at most.
 
-    The asked rows (asked, vector) are a stated set that is compared with all rows.
+    The asked rows (asked, vector) are a stated set that is compared with all rows, block by block.
     """
-    met = asked.select("asked", F.col("vector").alias("own")).join(vectors.select("node", "vector"), F.lit(True))
-    scored = met.select("asked", "node", F.round(dot(F.col("own"), F.col("vector")), 6).alias("score"))
-    first = Window.partitionBy("asked").orderBy(F.desc("score"), "node")
-    hits = scored.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= recall).filter("asked <> node")
+    kind = vectors.schema["vector"].dataType.simpleString()
+    kind = kind if kind == asked.schema["vector"].dataType.simpleString() else "array<double>"
+    own = asked.select("asked", F.col("vector").cast(kind).alias("value")).groupBy("asked", "value").agg(F.count("*").alias("times"))
+    found = best(own, vectors.select("node", F.col("vector").cast(kind).alias("value")), recall, Products).filter("asked <> node")
     if shown is not None:
-        hits = hits.join(shown.select("asked", "node"), ["asked", "node"], "left_anti")
-    return hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit).select("asked", "node", "score", "rank")
+        found = found.join(shown.select("asked", "node"), ["asked", "node"], "left_anti")
+    first = Window.partitionBy("asked").orderBy("at")
+    return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit).select("asked", "node", "score", "rank")

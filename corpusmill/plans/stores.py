@@ -61,7 +61,7 @@ def node_view(spark: SparkSession, d: str) -> DataFrame:
     vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
     like = G.similar(own.join(vectors.withColumnRenamed("node", "asked"), "asked"), vectors, 3, near)
     row = lambda df, part, node, rank: df.select("asked", F.lit(part).alias("part"), node.cast("string").alias("node"), rank.cast("int").alias("rank"))
-    cited = edges.join(own, F.col("source") == F.col("asked"), "left_semi").withColumnRenamed("source", "asked")
+    cited = edges.join(own, F.col("source") == F.col("asked"), "left_semi").withColumnRenamed("source", "asked").distinct()
     return row(cited, "cites", F.col("target"), F.lit(0)).unionByName(row(near, "related", F.col("node"), F.col("rank"))).unionByName(row(like, "similar", F.col("node"), F.col("rank")))
 
 
