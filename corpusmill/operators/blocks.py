@@ -229,7 +229,7 @@ def best(asked: DataFrame, rows: DataFrame, k: int, how: type) -> DataFrame:
     met = rows.select("node", "value").withColumn("group", F.pmod(F.xxhash64("node", "value"), F.lit(groups))).withColumn("block", every(blocks))
     square = (F.col("block") * groups + F.col("group")).alias("square")
     sides = dealt.select(square, F.lit(0).alias("side"), "asked", "times", none("node", rows), "value").unionByName(met.select(square, F.lit(1).alias("side"), none("asked", own), none("times", own), "node", "value"))
-    sorted_ = sides.repartition(blocks * groups, "square").sortWithinPartitions("square", "side", F.asc_nulls_last("node"))
+    sorted_ = sides.repartitionById(blocks * groups, F.col("square").cast("int")).sortWithinPartitions("square", "side", F.asc_nulls_last("node"))
     schema = StructType([own.schema["asked"], own.schema["times"], rows.schema["node"], StructField("score", DoubleType()), StructField("without", BooleanType())])
     found = sorted_.mapInArrow(_squares(how, k), schema).withColumn("score", F.when(~F.col("without"), F.col("score")))
     counted = found.withColumn("time", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
