@@ -1,10 +1,14 @@
 """Rebuilt banks and exams against plain walks over small rows."""
 
 import hashlib
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusmill.functions.digests import md5_heads
 from corpusmill.operators import banks, exams
 
 
@@ -80,3 +84,26 @@ def test_best_draws(spark):
     pairs = met.join(lacks, "request").join(questions, "kind").select("request", k.alias("k"), "id").collect()
     for r, deep in (("r", 10), ("s", 2)):
         assert got[r][1][:deep] == sorted((x["k"], x["id"]) for x in pairs if x["request"] == r)[:deep] and deep <= got[r][0] < 2_000
+
+
+def test_digests_at_once():
+    """First bytes of MD5 digests as hashlib gives them, over one block and more."""
+    for head, tail in ((0, 0), (1, 3), (4, 5), (7, 12), (8, 47), (8, 48), (30, 40), (70, 70)):
+        heads, tails = ([bytes((i * a + j) % 251 for j in range(n)) for i in range(m)] for n, m, a in ((head, 5, 7), (tail, 3, 11)))
+        got = md5_heads(*(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) if x[0] else np.zeros((len(x), 0), np.uint8) for x in (heads, tails)))
+        assert got.tolist() == [[int(hashlib.md5(x + y).hexdigest()[:8], 16) for x in heads] for y in tails]
+
+
+def test_least_draws(monkeypatch):
+    """The least draws of each request, whatever the pairs that are drawn at once; texts of several lengths, weights far apart, null and none."""
+    monkeypatch.setattr(exams, "AT_ONCE", 64)
+    rng = random.Random(3)
+    heads, tails, deep = [str(i) for i in range(1_500)], [f":s{i}:2" for i in (1, 22, 23, 333)], np.array([3, 1, 40, 2_000])
+    weights = np.array([rng.choice([0.01, 1.0, 1.0001, 300.0]) for _ in heads])
+    weights[7], weights[8] = np.inf, 0.0
+    i, j = exams._least(weights, pa.array(heads), pa.array(tails), deep)
+    for r, tail in enumerate(tails):
+        u = [(int(hashlib.md5((x + tail).encode()).hexdigest()[:8], 16) + 1) / 4294967297.0 for x in heads]
+        order = sorted(range(len(heads)), key=lambda x: -math.log(u[x]) / weights[x] if weights[x] else math.inf)
+        got = j[i == r].tolist()
+        assert set(order[: deep[r]]) <= set(got) and len(set(got)) == len(got) <= deep[r] + 3
