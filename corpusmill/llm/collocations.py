@@ -1,14 +1,15 @@
 """Phrase collocation mining: sketch bounds, delimiter-guarded automata, sums, thresholds.
 
 First pass: every run of 1 to MAX_WORDS words within a piece is hashed, with its
-language, to one of CELLS cells; tasks send the cells of a few megabytes of text
+language, to a cell; there are about as many cells as a quarter of the text's bytes,
+within CELLS, so that a cell holds few phrases whatever the size. Tasks send the cells of a few megabytes of text
 as sorted arrays, one for each slab of cells, and each slab is summed. A cell's sum
 is an upper bound of the count of each phrase in it, so a phrase that occurs LEAST
-times is in a cell of at least that sum. These cells are a bitmap of fixed size
-(CELLS / 8 bytes, 16 MB), which goes through the driver to every task.
+times is in a cell of at least that sum. These cells are a bitmap of bounded size
+(a bit for each, 16 to 128 MB), which goes through the driver to every task.
 
 Second pass: a shard is some megabytes of text of one language. Its phrases in
-heavy cells are candidates. They become automata with a space before and after
+heavy cells, of which all parts are in heavy cells too, are candidates. They become automata with a space before and after
 each phrase as a guard, of at most PATTERN_BYTES each; the shard's text, words
 with one space between and a line feed between pieces, is run through them, and
 overlapping matches are counted. Counts are summed over shards, then the exact
@@ -40,8 +41,8 @@ from ._store import materialise, table
 LEAST, MAX_WORDS, TOP = 10, 3, 2000
 #: Percent of a candidate's count from which a longer candidate that contains it makes it go.
 INSIDE = 50
-#: log2 of the number of cells, and of cells in a slab.
-CELLS, SLAB = 27, 19
+#: log2 of the least and the greatest number of cells, and of cells in a slab.
+CELLS, SLAB = (27, 30), 19
 #: Bytes of text that a task holds before the language with most of it is handled, and of patterns in one automaton.
 HELD, PATTERN_BYTES = 6 << 20, 3 << 20
 _U = np.uint64
@@ -167,6 +168,16 @@ def matches(text: str, patterns: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter((i for _, i in automaton.iter(text)), dtype=np.int64), minlength=len(patterns))
 
 
+def _heavy(phrases: Iterator[tuple[int, np.ndarray, np.ndarray]], bits: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the first words of the phrases in heavy cells; a phrase is not more frequent than its beginning and its end, so both have to be in heavy cells."""
+    shorter = np.ones(n + 1, dtype=bool)
+    for k, at, cell in phrases:
+        at = at[((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1) & shorter[at] & shorter[at + (k > 1)]]
+        shorter = np.zeros(n + 1, dtype=bool)
+        shorter[at] = True
+        yield k, at
+
+
 def _scan(bitmap: object, most: int, cells: int) -> Callable:
     """Rows: language, phrase, number of words and count in a shard; a null phrase counts all words."""
 
@@ -176,12 +187,12 @@ def _scan(bitmap: object, most: int, cells: int) -> Callable:
             hashes, starts, ends, pieces = _words(text)
             chars = text.decode("latin-1")  # a character for each byte
             yield _counted(lang, [None], [0], [len(starts)])
-            for k, at, cell in _phrases(lang, hashes, pieces, most, cells):
-                at = at[(bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
-                found = {chars[a:b] for a, b in zip((starts[at] - 1).tolist(), (ends[at + k - 1] + 1).tolist())}
-                for group in _groups(sorted(found)):
-                    counts = matches(chars, group)
-                    yield _counted(lang, [p[1:-1].encode("latin-1") for p in group], [k] * len(group), counts)
+            found: set[str] = set()
+            for k, at in _heavy(_phrases(lang, hashes, pieces, most, cells), bits, len(starts)):
+                found.update(chars[a:b] for a, b in zip((starts[at] - 1).tolist(), (ends[at + k - 1] + 1).tolist()))
+            for group in _groups(sorted(found)):
+                counts = matches(chars, group)
+                yield _counted(lang, [p[1:-1].encode("latin-1") for p in group], [p.count(" ") - 1 for p in group], counts)
 
     return run
 
@@ -190,11 +201,17 @@ def _counted(lang: str, phrases: list, lengths: list, counts: object) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "words", "n"])
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, cells: int = CELLS) -> DataFrame:
+def cells_for(size: int) -> int:
+    """log2 of the number of cells for a text of so many bytes; about 0.4 phrases of up to three words begin at a byte."""
+    return min(max((size // 4).bit_length() - 1, CELLS[0]), CELLS[1])
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, cells: int | None = None) -> DataFrame:
     """lang, phrase, words, n of every phrase of up to ``most`` words that occurs ``least`` times; a null phrase counts all words of a language."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells or cells_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     salts = max(1, parts >> max(0, cells - SLAB))
     kind = "slab int, salt int, once binary, often binary, n binary"
     dealt = lambda df: df.repartition(parts, "slab", "salt").sortWithinPartitions("slab", "salt")
@@ -203,14 +220,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, ce
         sketch = dealt(mapped(sketch, _summed(least, cells, False), kind))
     bitmap = bytearray(1 << (cells - 3))
     width = 1 << (min(SLAB, cells) - 3)
-    for row in mapped(sketch, _summed(least, cells, True), "slab int, bits binary").toLocalIterator():
+    # an iterator runs a partition at a time, so slabs are summed, in all tasks at once, before it
+    for row in materialise(mapped(sketch, _summed(least, cells, True), "slab int, bits binary"), "cells").toLocalIterator():
         bitmap[row["slab"] * width : (row["slab"] + 1) * width] = row["bits"]
     known = spark.sparkContext.broadcast(bytes(bitmap))
+    del bitmap
     found = mapped(docs, _scan(known, most, cells), "lang string, phrase string, words int, n bigint")
     return materialise(found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, inside: int = INSIDE, top: int = TOP, cells: int = CELLS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, inside: int = INSIDE, top: int = TOP, cells: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to ``most`` words."""
     counts = phrase_counts(docs, least, most, cells)
     totals = counts.filter("phrase is null").select("lang", F.col("n").alias("n"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -184,3 +185,14 @@ def test_collocation_shards(docs, monkeypatch):
 def test_matches():
     assert collocations.canonical([b"A b\tB", b"b b b,c"]) == b" a b b \n b b b \n c "
     assert collocations.matches(" b b b \n b ", [" b ", " b b ", " b b b ", " c "]).tolist() == [4, 2, 1, 0]
+
+
+def test_collocations_cells(docs, monkeypatch):
+    """Cells grow with the text, so that they do not fill; a phrase is no candidate where a part of it is rare; sums are made before the driver asks for them."""
+    assert [collocations.cells_for(n) for n in (0, 1 << 29, (1 << 30) - 1, 1 << 30, 6 << 30, 1 << 50)] == [27, 27, 27, 28, 30, 30]
+    bits = np.frombuffer(np.packbits([1, 1, 0, 1, 1, 1, 1, 1], bitorder="little").tobytes(), dtype=np.uint8)
+    phrases = [(1, np.arange(4), np.array([0, 1, 2, 3], np.uint32)), (2, np.array([0, 1, 2]), np.array([4, 5, 6], np.uint32)), (3, np.array([0, 1]), np.array([7, 7], np.uint32))]
+    assert [(k, at.tolist()) for k, at in collocations._heavy(iter(phrases), bits, 4)] == [(1, [0, 1, 3]), (2, [0]), (3, [])]
+    made, real = [], collocations.materialise
+    monkeypatch.setattr(collocations, "materialise", lambda df, tag: made.append(tag) or real(df, tag))
+    assert collocations.phrase_counts(docs, least=4, cells=16).count() > 50 and made == ["cells", "phrases"]
